@@ -1,0 +1,52 @@
+"""Connected components of an edge list, every step distributed."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def _forest(batches):
+    """The edges of a partition as stars around their smallest reachable node."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    own = [(x, find(x)) for x in parent if find(x) != x]
+    yield pa.record_batch([pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64())], ["u", "v"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges``: two long columns.  Returns node, root for every node of an edge whose smallest reachable node, root, is another.
+
+    Partitions first contract their own edges; then alternating large-star and small-star
+    rounds keep the components and move every node nearer to its smallest one, until no
+    round changes an edge (a logarithmic number in practice).
+    """
+    a, b = (F.col(f"`{c}`") for c in edges.columns)
+    now = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).mapInArrow(_forest, "u bigint, v bigint")
+    now, before = materialize(now.distinct(), "edges"), None
+    while True:
+        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == before or not state[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")

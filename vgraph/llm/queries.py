@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .simhash import near_duplicates
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,3 +38,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """)
 def op1_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op3_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
