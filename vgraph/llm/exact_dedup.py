@@ -182,8 +182,8 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     # whole bytes are the grouping key: partial aggregation keeps one text per task and group, and a group needs no single task
     verified = suspects.select("fp", _normalised("_v_text").alias("norm")).groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("group_size"))
     groups = materialize(verified.where("group_size > 1").select(F.sha2("norm", 256).alias("sha"), "group_size"), "groups")
-    first = rows.join(groups.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.min(F.struct((-F.col("points")).alias("p"), F.col("_v_id").isNull().alias("none"), F.col("_v_id").alias("id"), F.col("_v_row").alias("row"))).alias("first"))
-    known = groups.join(first, "sha")
+    first = rows.groupBy("sha").agg(F.min(F.struct((-F.col("points")).alias("p"), F.col("_v_id").isNull().alias("none"), F.col("_v_id").alias("id"), F.col("_v_row").alias("row"))).alias("first"))
+    known = materialize(groups.join(first, "sha"), "known")
     return rows.join(known, "sha", "left").select(
         F.col("_v_id").alias(id_col),
         F.when(F.col("first").isNull(), F.col("_v_id")).otherwise(F.col("first.id")).alias("keep_id"),
