@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import toxicity
 from .exact_dedup import exact_duplicates
+from .mixing import mix
+from .packing import pack
 from .simhash import near_duplicates
 
 QUERIES: dict = {}
@@ -43,3 +47,46 @@ def op1_exact_dedup(spark, sf_dir):
 @query()
 def op3_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, source, md5('42:' || doc_id) AS o,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+         coalesce(sum(source_size) OVER below, 0)::DOUBLE * 2.0::DOUBLE AS capped,
+         sum(w) OVER (ORDER BY source_size / w DESC, source DESC NULLS FIRST) AS free,
+         1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total
+  FROM s WINDOW below AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max((total - capped) / free) FILTER (WHERE w * ((total - capped) / free) <= cap) AS level FROM r),
+t AS (
+  SELECT source, source_size, least(cap, w * coalesce(level, 1e300)) AS target,
+         CASE WHEN source_size > 0 THEN floor(least(cap, w * coalesce(level, 1e300)) / source_size) ELSE 0 END AS whole
+  FROM r, l),
+p AS (
+  SELECT d.doc_id, d.size, t.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN before + size / 2.0::DOUBLE < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p
+""")
+def op5_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op9_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(toxicity.fold() != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
