@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Words whose share among toxic examples stands out from that among others span the vector
-space.  An index over a bounded number of labelled examples answers each text with its
+Terms are words and word beginnings, each also as a term of its own when it comes twice and
+three times; those whose share among toxic examples stands out from that among others span
+the vector space.  An index over a bounded number of labelled examples answers each text with its
 exactly nearest ones; votes weighted by closeness, calibrated on the examples themselves
 (each left out of its own vote), give the score, and the voters are the evidence.
 """
@@ -19,10 +20,12 @@ from pyspark.sql import types as T
 
 from .common import fits, materialize, without
 
-#: Labelled examples in the index at most (those with the smallest hashes of their ids).
+#: Labelled texts that the model is fitted on at most: those with the smallest hashes of their ids.
 EXAMPLES = 20_000
-#: Words that span the space at most, and the standard errors by which their log-odds must stand out.
-VOCABULARY, STANDING_OUT = 4096, 5.0
+#: Terms that span the space at most, the log-likelihood ratio by which their share must stand out, and terms of toxic examples tried for it at most.
+VOCABULARY, STANDING_OUT, TRIED = 4096, 28.0, 200_000
+#: Lengths of the word beginnings that are terms.
+BEGINNINGS = range(3, 8)
 #: Labels up to this number (32 MB) are broadcast to find their texts; beyond it a shuffle join does.
 BROADCAST_LABELS = 2_000_000
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 16, 64, 0.5
@@ -30,8 +33,47 @@ NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 16, 64, 0.5
 _WORD = re.compile(r"\w+")
 
 
-def terms(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def stems(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if k < len(word))]
+
+
+def terms(often: Counter) -> list[str]:
+    """Terms of a text whose stems come so often."""
+    return [f if k == 1 else f"{f} {k}" for f, n in often.items() for k in range(1, min(n, 3) + 1)]
+
+
+def stem_counts(text: str | None) -> Counter:
+    often: Counter = Counter()
+    for word, n in Counter(_WORD.findall((text or "").lower())).items():
+        for f in stems(word):
+            often[f] += n
+    return often
+
+
+class Marks:
+    """Places of a text's terms in a vocabulary.
+
+    Which stems of a word matter is looked up once for each distinct word and remembered,
+    for a bounded number of words, as most words have none.
+    """
+
+    def __init__(self, vocabulary: list[str]):
+        self.place = {w: k for k, w in enumerate(vocabulary)}
+        self.stems = {w.split(" ")[0] for w in vocabulary}
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def __call__(self, text: str | None) -> list[int]:
+        often: Counter = Counter()
+        known = self.known
+        for word in _WORD.findall((text or "").lower()):
+            own = known.get(word)
+            if own is None:
+                if len(known) > 200_000:
+                    known.clear()
+                own = known[word] = tuple(f for f in stems(word) if f in self.stems)
+            for f in own:
+                often[f] += 1
+        return sorted(self.place[t] for t in terms(often) if t in self.place)
 
 
 class BlockMaxIndex:
@@ -82,25 +124,21 @@ class BlockMaxIndex:
 class Model:
     """What scoring needs; its size is bounded by EXAMPLES and VOCABULARY."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list, vectors: list[tuple[list[int], list[int]]], labels: np.ndarray):
-        self.place = {w: k for k, w in enumerate(vocabulary)}
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list, vectors: list[list[int]], labels: np.ndarray):
+        self.marks = Marks(vocabulary)
         self.idf, self.ids, self.labels = idf, ids, np.asarray(labels, float)
-        self.index = BlockMaxIndex([self.weigh(*v) for v in vectors], len(vocabulary))
+        self.index = BlockMaxIndex([self.weigh(v) for v in vectors], len(vocabulary))
         self.prior = (self.labels.sum() + 0.5) / (len(self.labels) + 1.0)
-        bare = np.array([not len(t) for t, _ in vectors], bool)
+        bare = np.array([not v for v in vectors], bool)
         self.bare = float((self.labels[bare].sum() + 0.5) / (bare.sum() + 1.0)) if bare.any() else float(self.prior)
         self.slope, self.shift = 1.0, 0.0
-        votes = [(self.vote(self.weigh(*v), k)[0], y) for k, (v, y) in enumerate(zip(vectors, self.labels, strict=True)) if len(v[0])]
+        votes = [(self.vote(self.weigh(v), k)[0], y) for k, (v, y) in enumerate(zip(vectors, self.labels, strict=True)) if v]
         if votes:
             self.calibrate(*(np.array(x) for x in zip(*votes, strict=True)))
 
-    def count(self, text: str | None) -> tuple[list[int], list[int]]:
-        found = Counter(self.place[w] for w in terms(text) if w in self.place)
-        return sorted(found), [found[k] for k in sorted(found)]
-
-    def weigh(self, term: list[int], often: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def weigh(self, term: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(term, np.int64)
-        w = (1 + np.log(np.maximum(1, np.asarray(often, float)))) * self.idf[t]
+        w = self.idf[t]
         return t, w / (np.linalg.norm(w) or 1.0)
 
     def vote(self, query: tuple[np.ndarray, np.ndarray], but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -126,10 +164,10 @@ class Model:
             self.slope, self.shift = a
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        counted = self.count(text)
-        if not counted[0]:
+        found = self.marks(text)
+        if not found:
             return self.bare, []
-        vote, near, cosine = self.vote(self.weigh(*counted))
+        vote, near, cosine = self.vote(self.weigh(found))
         p = 1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift)))
         return float(p), [{"id": self.ids[d], "similarity": float(c), "label": int(self.labels[d])} for d, c in zip(near, cosine, strict=True)]
 
@@ -142,50 +180,60 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     small = fits(own, BROADCAST_LABELS)
-    hint = F.broadcast if small else lambda x: x
-    hashed = texts.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(hint(own), "id")
-    train = materialize(hashed.groupBy("h").agg(F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y")).select("id", "y"), "train")
-    marked = texts.join(hint(train), "id")
-    sizes = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hashed = texts.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(F.broadcast(own) if small else own, "id")
+    train = hashed.groupBy("h").agg(F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y")).select("id", "y")
+    sample = materialize(train.orderBy(F.xxhash64("id"), "id").limit(EXAMPLES), "examples")
+    marked = materialize(texts.join(F.broadcast(sample), "id"), "labelled")
+    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p_all, n_all = sizes.get(1, 0), sizes.get(0, 0)
-    if not p_all + n_all:
-        return Model([], np.zeros(0), [], [], np.zeros(0))
-
-    def count(batches):
-        n, p = Counter(), Counter()
-
-        def out():
-            yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([p[w] for w in n], pa.int64())], ["term", "n", "p"])
-            n.clear(), p.clear()
-
-        for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = set(terms(text.as_py()))
-                n.update(found)
-                if y:
-                    p.update(found)
-                if len(n) > 300_000:
-                    yield from out()
-        yield from out()
-
-    seen = marked.select("text", "y").mapInArrow(count, "term string, n bigint, p bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    a, b = F.col("p") + 0.5, F.col("n") - F.col("p") + 0.5
-    c, d = F.lit(p_all + 0.5) - F.col("p"), F.lit(n_all + 0.5) - (F.col("n") - F.col("p"))
-    z = (F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / b)
-    chosen = seen.withColumn("z", z).where(F.col("z") >= STANDING_OUT).orderBy(F.desc("z"), "term").limit(VOCABULARY).collect()
-    vocabulary = [r.term for r in chosen]
-    idf = np.array([np.log(1 + (p_all + n_all) / r.n) for r in chosen])
-    place = {w: k for k, w in enumerate(vocabulary)}
+    if not p_all or not n_all:
+        return Model([], np.zeros(0), [], [], np.array([1.0] * p_all + [0.0] * n_all))
+
+    def count(among: set[str] | None):
+        """Counts over texts by task, of all terms or of those tried."""
+
+        def run(batches):
+            seen: Counter = Counter()
+
+            def out():
+                yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                seen.clear()
+
+            for batch in batches:
+                for text in batch.column(0):
+                    found = set(terms(stem_counts(text.as_py())))
+                    seen.update(found if among is None else found & among)
+                    if len(seen) > 300_000:
+                        yield from out()
+            yield from out()
+
+        return lambda df: df.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+    # with none among the others, a term stands out only if so many toxic examples have it
+    enough = STANDING_OUT / 2 / np.log((p_all + n_all) / p_all)
+    toxic = {r.term: r.n for r in count(None)(marked.where("y = 1")).where(F.col("n") >= enough).orderBy(F.desc("n"), "term").limit(TRIED).collect()}
+    clean = {r.term: r.n for r in count(set(toxic))(marked.where("y = 0")).collect()}
+    ratio = {w: _ratio(p, clean.get(w, 0), p_all, n_all) for w, p in toxic.items()}
+    vocabulary = sorted((w for w, g in ratio.items() if g >= STANDING_OUT), key=lambda w: (-ratio[w], w))[:VOCABULARY]
+    idf = np.array([np.log(1 + (p_all + n_all) / (toxic[w] + clean.get(w, 0))) for w in vocabulary])
+    marks = Marks(vocabulary)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def features(column: pa.Array) -> pa.Array:
-        return pa.array([[place[w] for w in terms(t.as_py()) if w in place] for t in column], pa.list_(pa.int32()))
+        return pa.array([marks(t.as_py()) for t in column], pa.list_(pa.int32()))
 
-    sample = train.orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
-    rows = texts.join(F.broadcast(sample), "id").select("id", "y", features("text").alias("f")).collect()
+    rows = marked.select("id", "y", features("text").alias("f")).collect()
     rows = sorted({r.id: r for r in rows}.values(), key=lambda r: r.id)
-    found = [Counter(r.f) for r in rows]
-    return Model(vocabulary, idf, [r.id for r in rows], [(sorted(f), [f[k] for k in sorted(f)]) for f in found], np.array([r.y for r in rows]))
+    return Model(vocabulary, idf, [r.id for r in rows], [r.f for r in rows], np.array([r.y for r in rows]))
+
+
+def _ratio(p: int, n: int, p_all: int, n_all: int) -> float:
+    """Log-likelihood ratio of a term with p of p_all toxic and n of n_all other texts; zero if not commoner among toxic ones."""
+    if p * n_all <= n * p_all:
+        return 0.0
+    share = (p + n) / (p_all + n_all)
+    cells = ((p, p_all * share), (n, n_all * share), (p_all - p, p_all * (1 - share)), (n_all - n, n_all * (1 - share)))
+    return 2 * sum(o * np.log(o / e) for o, e in cells if o)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
