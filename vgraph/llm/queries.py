@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import toxicity
+from .brown import brown_scores
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .packing import pack
+from .quality import quality
 from .simhash import near_duplicates
 
 QUERIES: dict = {}
@@ -90,3 +92,45 @@ def op10_toxicity(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").where(toxicity.fold() != 0)
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+
+
+@query(r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+l AS (
+  SELECT r, source, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         regexp_replace(array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' '), '[0-9]', '0', 'g') AS norm
+  FROM (SELECT r, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT r, string_agg(norm, chr(10) ORDER BY pos) AS content, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
+h AS (SELECT d.source, count(DISTINCT coalesce(content, '')) AS hosted FROM d LEFT JOIN c USING (r) GROUP BY d.source),
+o AS (
+  SELECT l.source, norm FROM l JOIN c USING (r) JOIN h ON l.source IS NOT DISTINCT FROM h.source
+  GROUP BY l.source, norm, hosted HAVING count(DISTINCT content) >= greatest(10, 0.01 * hosted)),
+g AS (SELECT r, sum(n) AS lost FROM l JOIN o ON l.norm = o.norm AND l.source IS NOT DISTINCT FROM o.source GROUP BY r),
+k AS (
+  SELECT r, k, count(*) OVER (PARTITION BY r, w[k], w[k + 1], w[k + 2]) AS n
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
+p AS (SELECT r, count(DISTINCT k + s) AS n_repeat_words FROM k, (VALUES (0), (1), (2)) v(s) WHERE n > 1 GROUP BY r),
+b AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost
+  FROM d LEFT JOIN c USING (r) LEFT JOIN g USING (r) LEFT JOIN p USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND NOT (lost > 0 AND (n_words - lost < 50 OR n_words - lost < 0.3 * n_words)) AS kept
+FROM b
+""")
+def op4_quality_rules(spark, sf_dir):
+    judged = quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op6_lm_scoring(spark, sf_dir):
+    scored = brown_scores(table(spark, sf_dir, "documents"), toxicity.fold(of=7) == 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
