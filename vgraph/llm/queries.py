@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import toxicity
 from .brown import brown_scores
 from .exact_dedup import exact_duplicates
+from .html_extract import extract
 from .mixing import mix
 from .packing import pack
 from .quality import quality
@@ -134,3 +135,8 @@ def op4_quality_rules(spark, sf_dir):
 def op6_lm_scoring(spark, sf_dir):
     scored = brown_scores(table(spark, sf_dir, "documents"), toxicity.fold(of=7) == 2)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op2_html_extraction(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
