@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import toxicity
 from .brown import brown_scores
 from .exact_dedup import exact_duplicates
 from .html_extract import extract
+from .line_dedup import documents_summary, line_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality import quality
+from .secrets import findings, train
 from .simhash import near_duplicates
 
 QUERIES: dict = {}
@@ -140,3 +143,15 @@ def op6_lm_scoring(spark, sf_dir):
 @query()
 def op2_html_extraction(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return documents_summary(line_duplicates(docs), docs)
+
+
+@query()
+def op8_secret_scan(spark, sf_dir):
+    found = findings(table(spark, sf_dir, "documents"), train()).select("doc_id", F.explode("findings").alias("f"))
+    return found.select("doc_id", "f.*", (F.col("f.probability") >= 0.5).alias("secret"))
