@@ -50,29 +50,34 @@ def stem_counts(text: str | None) -> Counter:
     return often
 
 
-class Marks:
-    """Places of a text's terms in a vocabulary.
+class Known(dict):
+    """Which wanted stems a word has, found once for each distinct word and remembered for a bounded number of them, as most words have none."""
 
-    Which stems of a word matter is looked up once for each distinct word and remembered,
-    for a bounded number of words, as most words have none.
-    """
+    def __init__(self, wanted: set[str]):
+        self.wanted = wanted
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > 400_000:
+            self.clear()
+        own = self[word] = tuple(f for f in stems(word) if f in self.wanted) if word[:3] in self.wanted or word[:3] + "*" in self.wanted or word in self.wanted else ()
+        return own
+
+    def __reduce__(self):
+        return Known, (self.wanted,)
+
+
+class Marks:
+    """Places of a text's terms in a vocabulary."""
 
     def __init__(self, vocabulary: list[str]):
         self.place = {w: k for k, w in enumerate(vocabulary)}
-        self.stems = {w.split(" ")[0] for w in vocabulary}
-        self.known: dict[str, tuple[str, ...]] = {}
+        wanted = {w.split(" ")[0] for w in vocabulary}
+        self.stems, self.known = wanted, Known(wanted | {w[:3] for w in wanted})
 
     def __call__(self, text: str | None) -> list[int]:
         often: Counter = Counter()
-        known = self.known
-        for word in _WORD.findall((text or "").lower()):
-            own = known.get(word)
-            if own is None:
-                if len(known) > 200_000:
-                    known.clear()
-                own = known[word] = tuple(f for f in stems(word) if f in self.stems)
-            for f in own:
-                often[f] += 1
+        for own in filter(None, map(self.known.__getitem__, _WORD.findall((text or "").lower()))):
+            often.update(own)
         return sorted(self.place[t] for t in terms(often) if t in self.place)
 
 
@@ -102,22 +107,22 @@ class BlockMaxIndex:
         todo = np.argsort(-bounds, kind="stable")
         todo = todo[bounds[todo] > 0]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        for first in range(0, len(todo), 8):
-            if len(score) >= k and bounds[todo[first]] < score[k - 1] - 1e-12:
-                break
-            sums: dict[int, np.ndarray] = {}
-            for b in todo[first : first + 8]:
-                own = sums[b] = np.zeros(BLOCK)
-                for t, w in zip(term, weight, strict=True):
-                    a, z = self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1]
-                    if a < z:
-                        own[self.docs[a:z] - b * BLOCK] += w * self.impacts[a:z]
-            docs = np.concatenate([best, *[b * BLOCK + np.flatnonzero(s) for b, s in sums.items()]]).astype(np.int64)
-            all_scores = np.concatenate([score, *[s[s != 0] for s in sums.values()]])
+        first, step = 0, 4
+        while first < len(todo) and not (len(score) >= k and bounds[todo[first]] < score[k - 1] - 1e-12):
+            blocks = todo[first : first + step]
+            at = term[:, None] * self.blocks + blocks
+            begin, n = self.starts[at].ravel(), (self.starts[at + 1] - self.starts[at]).ravel()
+            rows = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            place = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(term)), n) + self.docs[rows] % BLOCK
+            sums = np.bincount(place, np.repeat(np.repeat(weight, len(blocks)), n) * self.impacts[rows], len(blocks) * BLOCK)
+            hit = np.flatnonzero(sums)
+            docs = np.concatenate([best, blocks[hit // BLOCK] * BLOCK + hit % BLOCK])
+            scores = np.concatenate([score, sums[hit]])
             keep = self.order[docs] != but
-            docs, all_scores = docs[keep], all_scores[keep]
-            top = np.lexsort((docs, -all_scores))[:k]
-            best, score = docs[top], all_scores[top]
+            docs, scores = docs[keep], scores[keep]
+            top = np.lexsort((docs, -scores))[:k]
+            best, score = docs[top], scores[top]
+            first, step = first + step, step * 2
         return self.order[best], score
 
 
@@ -189,20 +194,20 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     if not p_all or not n_all:
         return Model([], np.zeros(0), [], [], np.array([1.0] * p_all + [0.0] * n_all))
 
-    def count(among: set[str] | None):
-        """Counts over texts by task, of all terms or of those tried."""
+    def count(wanted: list[str] | None):
+        """Counts over texts by task, of all terms or of those wanted."""
 
         def run(batches):
             seen: Counter = Counter()
+            marks = wanted and Marks(wanted)
 
             def out():
-                yield pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                yield pa.record_batch([pa.array([wanted[k] for k in seen] if marks else list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
                 seen.clear()
 
             for batch in batches:
                 for text in batch.column(0):
-                    found = set(terms(stem_counts(text.as_py())))
-                    seen.update(found if among is None else found & among)
+                    seen.update(marks(text.as_py()) if marks else terms(stem_counts(text.as_py())))
                     if len(seen) > 300_000:
                         yield from out()
             yield from out()
@@ -212,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     # with none among the others, a term stands out only if so many toxic examples have it
     enough = STANDING_OUT / 2 / np.log((p_all + n_all) / p_all)
     toxic = {r.term: r.n for r in count(None)(marked.where("y = 1")).where(F.col("n") >= enough).orderBy(F.desc("n"), "term").limit(TRIED).collect()}
-    clean = {r.term: r.n for r in count(set(toxic))(marked.where("y = 0")).collect()}
+    clean = {r.term: r.n for r in count(list(toxic))(marked.where("y = 0")).collect()} if toxic else {}
     ratio = {w: _ratio(p, clean.get(w, 0), p_all, n_all) for w, p in toxic.items()}
     vocabulary = sorted((w for w, g in ratio.items() if g >= STANDING_OUT), key=lambda w: (-ratio[w], w))[:VOCABULARY]
     idf = np.array([np.log(1 + (p_all + n_all) / (toxic[w] + clean.get(w, 0))) for w in vocabulary])
