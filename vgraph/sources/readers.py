@@ -57,7 +57,7 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """src, dst of lines "vid outdegree target target ..."."""
     parts = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).where("trim(value) != '' and not startswith(trim(value), '#')").select(parts.alias("t"))
-    return lines.select(F.col("t")[0].cast("bigint").alias("src"), F.explode(F.slice("t", F.lit(3), F.col("t")[1].cast("int"))).cast("bigint").alias("dst"))
+    return lines.select(F.col("t")[0].cast("bigint").alias("src"), F.explode(F.transform(F.slice("t", F.lit(3), F.col("t")[1].cast("int")), lambda t: t.cast("bigint"))).alias("dst"))
 
 
 def read_tokens(spark: SparkSession, path: str, kind: str = "bigint", n: int = 0) -> DataFrame:

@@ -17,7 +17,7 @@ def write_edge_list(edges: DataFrame, path: str) -> None:
 
 def drop_first_line(spark: SparkSession, path: str, out: str) -> None:
     """A copy of a text file without its first line."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split(F.rtrim("value"), "\n"), 2, 1 << 30)).alias("value"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split(F.regexp_replace("value", r"\n$", ""), "\n"), 2, 1 << 30)).alias("value"))
     rows.write.mode("overwrite").text(out)
 
 
