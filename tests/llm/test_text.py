@@ -1,0 +1,178 @@
+"""HTML extraction, quality rules, toxicity and secret scans."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from vgraph.llm import html_extract, quality, secrets, toxicity
+
+
+def test_main_text():
+    page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+    <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><aside>More</aside><div class="ad">Buy</div>
+    <article><header><h1>Title &amp; more</h1><p class="byline">by</p></header><p>One<br>two  <b>three</b>,
+    four <p>caf&eacute;&nbsp;x &#233;<script>var a = "</p>";</script></p><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>
+    <form><input name="q"><p>Subscribe</p></form><section id="comments"><p>Reader</p></section><!-- no --></article><footer>&copy;</footer></body></html>"""
+    assert html_extract.main_text(page, set()) == "Title & more\n\nOne two three, four\n\ncafé x é\n\na\n\nb\n\nc d"
+    for none in (None, "", "<nav>x</nav>", "<!-- a", "<script>x"):
+        assert html_extract.main_text(none, set()) == ""
+    assert html_extract.main_text("plain text", set()) == "plain text"
+    assert html_extract.main_text("<p>" * 3000 + "deep", set()) == "deep"
+    assert html_extract.main_text("<div>" * 5000 + "deep", set()) == "deep"
+    assert html_extract.main_text("<b>" + "<" * 20000 + "a 'b", set())
+
+
+def test_templates_of_a_site_go(spark):
+    def page(k):
+        return f"<html><body><div class='x{k}'><p>Follow our daily letter for readers of this site</p></div><div><p>Story {k} of its own {'word ' * (k + 3)}</p><p>Same in the copies</p></div></body></html>"
+
+    rows = [(k, f"https://a.example/{k}", page(k)) for k in range(8)] + [(100, "https://b.example/1", page(1)), (101, None, None), (101, None, None)]
+    rows += [(200 + k, "https://c.example/x", page(1)) for k in range(8)]  # copies of one page are no template
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash"))
+    got = {r.page_id: r for r in html_extract.extract(df).collect()}
+    assert got[3].text.startswith("Story 3") and "daily letter" not in got[3].text
+    assert "daily letter" in got[100].text and got[101].text == "" and got[101].n_chars == 0
+    assert "daily letter" in got[200].text and got[200].n_chars == len(got[200].text) and got[3].host == "clash"
+    assert html_extract.extract(df.where("false")).count() == 0
+    html_extract_bound, html_extract.BROADCAST_SUBTREES = html_extract.BROADCAST_SUBTREES, 0
+    try:
+        assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {k: r.text for k, r in got.items()}
+    finally:
+        html_extract.BROADCAST_SUBTREES = html_extract_bound
+
+
+def counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    c = Counter(zip(words, words[1:], words[2:], strict=False))
+    hit = {k + s for k, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if c[w] > 1 for s in range(3)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit))
+
+
+def quality_fixture():
+    rng = random.Random(8)
+
+    def words(n):
+        return " ".join("w" + str(rng.randrange(10**6)) for _ in range(n))
+
+    shared = "This very Long line 17 stands on  every page of the site " + words(60)
+    rows = [(k, words(55) + "\n" + shared.replace("17", str(10 + k)) + "\n" + words(20 + k), "hot") for k in range(30)]
+    rows += [(100 + k, shared + "\n" + words(5), "hot") for k in range(15)]  # mostly the shared line: depleted
+    rows += [(200 + k, "copy of one text " + " ".join(map(str, range(60, 130))), "copies") for k in range(40)]
+    rows += [(300, None, "hot"), (301, "", None), (302, "a b c " * 40, None), (303, "é#* x\n\nx\nx\n", None), (300, None, "hot"), (304, words(60), None), (None, words(60), "hot"), (305, "z " * 100_000, "hot")]
+    return rows
+
+
+def test_quality_against_brute_force(spark):
+    rows = quality_fixture()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("kept", F.lit("clash")).withColumn("lines", F.lit(1))
+    got = quality.quality(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == Counter((i, *counts(t)) for i, t, _ in rows)
+    for r in got:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+    kept = {r.doc_id: r.kept for r in got}
+    assert all(kept[k] for k in range(30)) and not any(kept[100 + k] for k in range(15))
+    assert all(kept[200 + k] for k in range(40)) and kept[304] and kept[None]  # copies of one document do not condemn it
+    assert {r.doc_id: r.removed for r in got}[0] == [1]
+    out = quality.clean(df)
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == df.columns and texts[0] == "\n".join(rows[0][1].split("\n")[::2]) and 100 not in texts and texts[200] == rows[45][1]
+    assert quality.quality(df.where("false")).count() == 0
+
+
+def test_block_max_index_is_exact():
+    rng = np.random.default_rng(1)
+    vectors = []
+    for _ in range(500):
+        t = np.unique(rng.integers(0, 40, rng.integers(0, 6)))
+        w = rng.random(len(t)) + 0.1
+        vectors.append((t, w / (np.linalg.norm(w) or 1)))
+    dense = np.zeros((500, 40))
+    for k, (t, w) in enumerate(vectors):
+        dense[k, t] = w
+    index = toxicity.BlockMaxIndex(vectors, 40)
+    for k in range(0, 500, 7):
+        near, cosine = index.nearest(vectors[k], 9, k)
+        want = dense @ dense[k]
+        want[k] = 0
+        best = np.sort(want[want > 0])[::-1][:9]
+        assert np.allclose(cosine, best) and np.allclose(want[near], cosine)
+
+
+def toxic_fixture(spark):
+    rng = random.Random(9)
+    bad = ["grob", "schlimm", "mies"]
+    rows, labels = [], []
+    for k in range(400):
+        words = ["w" + str(rng.randrange(300)) for _ in range(30)]
+        if k % 8 == 0:
+            for w in rng.sample(bad, 2) + [rng.choice(bad) + rng.choice(["er", "en", "x"])]:
+                words[rng.randrange(30)] = w
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 8 == 0)))
+    rows += [(1000, None), (1001, ""), (1002, "GROB, schlimm! mies"), (1003, "w1 " * 100_000), (0, rows[0][1])]
+    labels += [(5, None), (None, 1), (9999, 1), (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit("clash")).withColumn("evidence", F.lit("clash"))
+    return docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+def test_toxicity(spark):
+    docs, labels = toxic_fixture(spark)
+    train = labels.where(toxicity.fold() != 0)
+    model = toxicity.fit(docs, train)
+    rows = toxicity.score(docs, model).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    held = [r for r in rows if r.doc_id < 400 and r.doc_id is not None]
+    assert np.mean([r.predicted == int(r.doc_id % 8 == 0) for r in held]) > 0.97
+    assert by[1002].predicted == 1 and by[1002].evidence[0].label == 1 and by[1003].predicted == by[1000].predicted == by[1001].predicted == 0
+    assert by[1000].score == by[1001].score
+    again = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, train)).collect()}
+    assert all(abs(again[k] - r.score) < 1e-12 for k, r in by.items())
+
+
+def test_toxicity_without_labels(spark):
+    docs, labels = toxic_fixture(spark)
+    for few in (labels.where("false"), labels.where("toxic = 0"), labels.where("toxic = 1")):
+        assert toxicity.score(docs, toxicity.fit(docs, few)).where("score between 0 and 1").count() == docs.count()
+    assert toxicity.score(docs.where("false"), toxicity.fit(docs.where("false"), labels)).count() == 0
+
+
+def test_secret_candidates():
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert secrets.candidates(f'x token = "{key}" y') == [(11, 51, "keyed")]
+    assert secrets.candidates("") == [] and secrets.candidates("12345678901234567890 only digits") == []
+    block = "-----BEGIN RSA PRIVATE KEY-----\nabc123\n-----END RSA PRIVATE KEY-----"
+    assert secrets.candidates("a " + block)[0] == (2, 2 + len(block), "private_key")
+    assert secrets.candidates("a" * 200_000) == []
+
+
+def test_forest_on_findings_not_trained_on():
+    forest = secrets.train(secrets.labelled_findings(1500, 7))
+    other = secrets.labelled_findings(600, 99)
+    x = np.array([secrets.features(t, a, b, "keyed" if any(m.start(1) == a for m in secrets._KEYED.finditer(t)) else "token") for t, a, b, _ in other], float)
+    y = np.array([label for *_, label in other])
+    assert ((forest(x) >= 0.5) == y).mean() > 0.95
+    assert (secrets.Forest(np.zeros((0, 3)), np.zeros(0))(np.zeros((2, 3))) == 0).all()
+
+
+def test_findings_and_redaction(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'großer token = "{key}" end'), (2, None), (3, ""), (4, "see mail12.example.com and v1.22.333-beta.4 in build"), (5, "plain " * 50_000), (1, f'großer token = "{key}" end'), (6, f"password: {key[:20]}Aq9 then secret_key='{key[::-1]}'")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("findings", F.lit("clash"))
+    forest = secrets.train()
+    got = {r.doc_id: r.findings for r in secrets.findings(df, forest).collect()}
+    assert [rows[0][1][f.start : f.end] for f in got[1]] == [key] and got[1][0].probability > 0.5
+    assert got[2] == got[3] == got[5] == [] and all(f.probability < 0.5 for f in got[4])
+    out = secrets.redact(df, forest)
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == df.columns and texts[1] == 'großer token = "[secret]" end' and texts[2] is None and texts[4] == rows[3][1]
+    assert texts[6] == "password: [secret] then secret_key='[secret]'"
+    assert secrets.findings(df.where("false"), forest).count() == 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: Words with a symbol of their own, symbols of endings, and classes.
 HEAD, ENDINGS, CLASSES = 8192, 1024, 64
@@ -190,7 +190,7 @@ def likelihood(counts: np.ndarray, classes: np.ndarray) -> float:
 
 def cluster(symbols: DataFrame, rounds: int = ROUNDS, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all symbols, and the counts of class pairs under them, the best that the rounds reach."""
-    classes = np.where(np.arange(SYMBOLS) < k, np.arange(SYMBOLS), np.arange(SYMBOLS) * 2654435761 % (1 << 32) * k >> 32)
+    classes = np.minimum(np.arange(SYMBOLS), k - 1)  # the most frequent words first have classes of their own
     best, kept, pairs = -np.inf, classes, None
     for turn in range(rounds + 1):
         counts = context_counts(symbols, classes)
@@ -212,7 +212,7 @@ def brown_scores(docs: DataFrame, held_out: Column, text_col: str = "text", id_c
     event of its ending.  Without training rows both are zero.  Equal rows get equal scores; an
     empty table gives no rows.  Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     vocabulary = materialize(_vocabulary(source.where(~F.col("held_out")).select("text")), "vocabulary")
     documents = source.where(~F.col("held_out")).count()

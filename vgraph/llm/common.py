@@ -1,4 +1,4 @@
-"""What the operators share: tables in the shared folder, and how words are read.
+"""What the operators share: tables in the shared folder, batches, and how words are read.
 
 Every operator takes a DataFrame and returns a DataFrame.  Columns that an operator
 adds replace input columns of the same name; columns used only on the way carry a
@@ -7,54 +7,28 @@ adds replace input columns of the same name; columns used only on the way carry
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialize, release, shared_dir
+
+__all__ = ["BATCH_ROWS", "SPACES", "WORD", "fits", "materialize", "release", "shared_dir", "small_batches", "without"]
+
 #: Fixed value: the ASCII white space that separates words in every contract.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Java and RE2 spelling of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session, whose one
-    process sees one disk, may leave it unset; then a temporary folder is made once.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='vgraph-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    Cuts the lineage at files that outlive any executor, gives the planner true sizes,
-    and fixes whatever the plan computes once (row numbers, Python results).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch at most while texts go to Python, so that a batch of long texts stays small beside a task's memory.
+BATCH_ROWS = 2000
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what :func:`materialize` wrote, once no result that reads it is needed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def small_batches(df: DataFrame) -> SparkSession:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger. Returns the session."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
 
 
 def fits(df: DataFrame, rows: int) -> bool:

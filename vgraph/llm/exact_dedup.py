@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, fits, materialize, without
+from .common import SPACES, fits, materialize, small_batches, without
 
 #: Repeated fingerprints up to this number (16 MB of longs) are broadcast to find their rows; beyond it a shuffle join does.
 BROADCAST_FINGERPRINTS = 2_000_000
@@ -173,6 +173,7 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     ids last), then the first of fully equal rows, so exactly one row of a group has ``kept``.
     An empty table gives no rows.  Other columns of ``docs`` are not read.
     """
+    small_batches(docs)
     slim = docs.select(F.col(f"`{id_col}`").alias("_v_id"), F.col(f"`{text_col}`").alias("_v_text"))
     digested = slim.withColumn("_v_d", _digest("_v_text"))
     rows = materialize(digested.select("_v_id", "_v_d.fp", "_v_d.sha", "_v_d.points", F.monotonically_increasing_id().alias("_v_row")), "digests")

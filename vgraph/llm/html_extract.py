@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fits, materialize, without
+from .common import fits, materialize, small_batches, without
 
 #: A subtree goes when it stands under so many different parents on its host, and so large a share of the host's pages.
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -262,6 +262,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     A null page counts as empty, a null address as a host of its own.  Each row is read by
     itself, so repeated rows get equal texts; an empty table gives no rows.
     """
+    small_batches(pages)
     known = materialize(templates(pages, html_col, url_col).select(F.col("host").alias("_v_host"), F.col("subtrees").alias("_v_subtrees")), "templates")
     small = fits(known.select(F.explode("_v_subtrees")), BROADCAST_SUBTREES)
     rows = without(pages, "text", "n_chars") if html_col.lower() not in ("text", "n_chars") else pages

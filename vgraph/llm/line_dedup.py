@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fits, materialize, without
-from .components import components
+from ..kernels.components import contract
+from .common import fits, materialize, small_batches, without
 
 #: Lines are near when at most so many code points are inserted, deleted or changed between them, and both are at least so long.
 THRESHOLD, MIN_LENGTH = 2, 20
@@ -283,12 +283,13 @@ def line_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     64-bit hashes.  Null and empty texts and an empty table give no rows; repeated rows are
     duplicates line by line.  Other columns of ``docs`` are not read.
     """
+    small_batches(docs)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = source.select(F.monotonically_increasing_id().alias("row"), "id", F.explode(_lines("text")).alias("l")).select("row", "id", "l.*")
     rows = materialize(rows, "lines")
     links = materialize(edit_links(source.select("text")), "links")
     degree = links.select(F.col("a").alias("line")).union(links.select("b")).groupBy("line").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(links)
+    roots = contract(links)
     near = degree.join(roots, degree["line"] == roots["node"], "left").select("line", "n_links", F.coalesce("root", "line").alias("class_id"))
     # first places are known per line before lines meet in classes, so a line of a third of all documents is small here
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, materialize, without
+from .common import SPACES, materialize, small_batches, without
 
 #: A line goes when so many distinct documents of its host hold it, and so large a share of them.
 MIN_DOCUMENTS, MIN_SHARE = 10, 0.01
@@ -81,6 +81,7 @@ def quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hos
     text has no words; rows with a null host form one host; equal rows get equal verdicts; an
     empty table gives no rows.  Other columns of ``docs`` are not read.
     """
+    small_batches(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host"), _measured(F.col(f"`{text_col}`")).alias("m"))
     rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce(F.concat(F.lit("h"), "host"), F.lit("")).alias("host"), "m.*"), "measured")
     lines = rows.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import small_batches, without
 
 # Words that name a secret, words that name something else, and common words of text, paths and code.
 SECRET_WORDS = "token secret password passwd pwd passphrase apikey api_key api-key access_key accesskey secret_key private_key auth authorization bearer credential credentials client_secret".split()
@@ -213,13 +213,13 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, **named) -> F
 _FOUND = [("start", T.LongType(), pa.int64()), ("end", T.LongType(), pa.int64()), ("kind", T.StringType(), pa.string()), ("value_sha256", T.StringType(), pa.string()), ("probability", T.DoubleType(), pa.float64())]
 
 
-def findings(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
-    """``docs`` with findings: an array of start, end (code points), kind, value_sha256 and probability for every candidate, in order.
+def findings(docs: DataFrame, forest: Forest, text_col: str = "text", into: str = "findings") -> DataFrame:
+    """``docs`` with findings (in the column ``into``): an array of start, end (code points), kind, value_sha256 and probability for every candidate, in order.
 
     Values are named by their hash, so a report does not spread them.  Whole texts are read;
     a null or empty text has none, repeated rows equal ones.
     """
-    held = docs.sparkSession.sparkContext.broadcast(forest)
+    held = small_batches(docs).sparkContext.broadcast(forest)
     kind = pa.list_(pa.struct([(n, a) for n, _, a in _FOUND]))
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, t) for n, t, _ in _FOUND])))
@@ -239,12 +239,12 @@ def findings(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFra
                 seen[k] += 1
         return pa.array(out, kind)
 
-    return without(docs, "findings").withColumn("findings", scan(F.col(f"`{text_col}`")))
+    return without(docs, into).withColumn(into, scan(F.col(f"`{text_col}`")))
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = 0.5, mark: str = "[secret]") -> DataFrame:
     """``docs``, its columns unchanged, with ``mark`` in place of each finding at or above the threshold."""
-    found = findings(docs.withColumn("_v_text", F.col(f"`{text_col}`")), forest, "_v_text").withColumnRenamed("findings", "_v_findings")
+    found = findings(docs.withColumn("_v_text", F.col(f"`{text_col}`")), forest, "_v_text", "_v_findings")
     secret = F.filter("_v_findings", lambda f: f["probability"] >= threshold)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     step = lambda s, f: F.struct(F.concat(s["done"], F.substring(F.col("_v_text"), (s["at"] + 1).cast("int"), (f["start"] - s["at"]).cast("int")), F.lit(mark)).alias("done"), f["end"].alias("at"))

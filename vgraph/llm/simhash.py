@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, without
-from .components import components
+from ..kernels.components import contract
+from .common import materialize, small_batches, without
 
 #: Posting lists up to this length are paired; longer ones go the way that makes no pairs.
 PAIRED_LIST = 64
@@ -110,10 +110,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     smallest id of their component, null if it has none; equal rows stay as many; an empty
     table gives no rows.  Other columns of ``docs`` are not read.
     """
+    small_batches(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_udf(width)(F.col(f"`{text_col}`")).alias("fp"))
     rows = materialize(rows, "fingerprints")
     known = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(known.select("fp")))
+    roots = contract(links(known.select("fp")))
     named = known.join(roots, known["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     top = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(named.join(top, "root").select("fp", "component_id"), "classes")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fits, materialize, without
+from .common import fits, materialize, small_batches, without
 
 #: Labelled texts that the model is fitted on at most: those with the smallest hashes of their ids.
 EXAMPLES = 20_000
@@ -57,7 +57,7 @@ class Known(dict):
         self.wanted = wanted
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         own = self[word] = tuple(f for f in stems(word) if f in self.wanted) if word[:3] in self.wanted or word[:3] + "*" in self.wanted or word in self.wanted else ()
         return own
@@ -182,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     Null ids and null labels are ignored; without any label every text scores one half.
     """
+    small_batches(docs)
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     small = fits(own, BROADCAST_LABELS)
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p_all, n_all = sizes.get(1, 0), sizes.get(0, 0)
     if not p_all or not n_all:
-        return Model([], np.zeros(0), [], [], np.array([1.0] * p_all + [0.0] * n_all))
+        return Model([], np.zeros(0), [], [[]] * (p_all + n_all), np.array([1.0] * p_all + [0.0] * n_all))
 
     def count(wanted: list[str] | None):
         """Counts over texts by task, of all terms or of those wanted."""
@@ -247,7 +248,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Null, empty and markless texts score the share of toxic ones among such examples.  Every
     row is scored from its whole text alone, so ties, repeated rows and other columns do not matter.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs).sparkContext.broadcast(model)
     evidence = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))])
 
