@@ -11,6 +11,10 @@ from ..plans.program import Run, VertexProgram, run
 from ..storage import materialize
 
 
+#: Nodes of which a task knows at once; its forest of more edges comes out in parts.
+FOREST_NODES = 500_000
+
+
 def _forest(batches):
     """The edges of a partition as stars around their smallest reachable node."""
     parent: dict[int, int] = {}
@@ -21,13 +25,19 @@ def _forest(batches):
             x = parent[x]
         return x
 
+    def stars():
+        own = [(x, find(x)) for x in parent if find(x) != x]
+        parent.clear()
+        return pa.record_batch([pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64())], ["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    own = [(x, find(x)) for x in parent if find(x) != x]
-    yield pa.record_batch([pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64())], ["u", "v"])
+        if len(parent) > FOREST_NODES:
+            yield stars()
+    yield stars()
 
 
 def contract(edges: DataFrame) -> DataFrame:
