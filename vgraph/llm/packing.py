@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from bisect import bisect_left
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, without
+from .common import materialize, small_batches, without
 
 #: Buckets into which each length is cut to rank its pieces; a length that a third of all pieces share is ranked in so many groups.
 RANK_BUCKETS = 1024
 #: Steps after which the search returns its incumbent.  Any packing it returns is whole and valid; more steps can only save sequences.
 SEARCH_STEPS = 5_000
+#: Items of a filling at most that is tested for being dominated; more are kept as if they were not.
+DOMINATED = 6
 
 def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on in order."""
@@ -132,8 +136,11 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tup
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the items of ``b`` can be put into those of ``a``: then filling with ``a`` loses nothing."""
-    if sum(b) > sum(a):
+    """Whether the items of ``b`` can be put into those of ``a``: then filling with ``a`` loses nothing.
+
+    Fillings of many items are not held against each other, as the test tries all ways to put them.
+    """
+    if sum(b) > sum(a) or len(a) > len(b) or len(b) > DOMINATED:
         return False
     free = list(a)
 
@@ -161,23 +168,19 @@ def fillings(space: int, lengths: list[int], counts: dict[int, int], waste: int,
     tries = 0
     smallest = lengths[-1] if lengths else space + 1
 
+    perfect = 0
+
     def extend(at: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal tries
+        nonlocal tries, perfect
         tries += 1
         if left < smallest:
             if left <= waste:
                 found.append((left, chosen))
+                perfect += not left
             return
         grew = False
-        lo, hi = at, len(lengths)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if lengths[mid] > left:
-                lo = mid + 1
-            else:
-                hi = mid
-        for k in range(lo, len(lengths)):
-            if tries > effort or sum(w == 0 for w, _ in found) >= most:
+        for k in range(bisect_left(lengths, -left, at, key=neg), len(lengths)):
+            if tries > effort or perfect >= most:
                 return
             if chosen.count(lengths[k]) < counts[lengths[k]]:
                 grew = True
@@ -277,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     ``docs``, repeated ones and null ids included, is packed as a document of its own; an
     empty table gives no rows.  Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs)
     cut = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(pieces_of(F.col(f"`{text_col}`"), tokenizer, end_id, capacity, with_ids)).alias("p"))
     pieces = materialize(cut.select("id", "p.*", F.monotonically_increasing_id().alias("row")), "pieces")
     part = pieces.select("id", "piece", "start", "length", "ids_crc32", "row").where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(RANK_BUCKETS)))
