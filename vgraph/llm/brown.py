@@ -49,7 +49,7 @@ def _vocabulary(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 seen.update((text.as_py() or "").encode().lower().split())
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     yield from out()
         yield from out()
 

@@ -22,6 +22,8 @@ from .common import SPACES, fits, materialize, small_batches, without
 
 #: Repeated fingerprints up to this number (16 MB of longs) are broadcast to find their rows; beyond it a shuffle join does.
 BROADCAST_FINGERPRINTS = 2_000_000
+#: As many ids of rows to drop, likewise.
+BROADCAST_IDS = 2_000_000
 #: Distinct fingerprints that a merging task is laid out for.
 RANGE_FINGERPRINTS = 1_000_000
 
@@ -127,11 +129,6 @@ def _digest(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(sha, pa.string()), pa.array(points, pa.int64())], ["fp", "sha", "points"])
 
 
-@F.arrow_udf(T.BinaryType())
-def _normalised(texts: pa.Array) -> pa.Array:
-    return pa.array([(t or "").encode().translate(None, SPACES) for t in texts.to_pylist()], pa.binary())
-
-
 def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     """Of a DataFrame with one long column ``fp``, those found more than once: fp, n.
 
@@ -181,7 +178,8 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     small = fits(repeated, BROADCAST_FINGERPRINTS)
     suspects = digested.select(F.col("_v_d.fp").alias("fp"), "_v_text").join(F.broadcast(repeated) if small else repeated.hint("merge"), "fp", "left_semi")
     # whole bytes are the grouping key: partial aggregation keeps one text per task and group, and a group needs no single task
-    verified = suspects.select("fp", _normalised("_v_text").alias("norm")).groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("group_size"))
+    norm = F.regexp_replace(F.coalesce("_v_text", F.lit("")), r"[\x20\x09-\x0D]+", "")
+    verified = suspects.select("fp", norm.cast("binary").alias("norm")).groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("group_size"))
     groups = materialize(verified.where("group_size > 1").select(F.sha2("norm", 256).alias("sha"), "group_size"), "groups")
     first = rows.groupBy("sha").agg(F.min(F.struct((-F.col("points")).alias("p"), F.col("_v_id").isNull().alias("none"), F.col("_v_id").alias("id"), F.col("_v_row").alias("row"))).alias("first"))
     known = materialize(groups.join(first, "sha"), "known")
@@ -203,9 +201,10 @@ def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     """
     labels = materialize(exact_duplicates(docs, text_col, id_col), "exact")
     ids = labels.groupBy(id_col).agg(F.count(F.lit(1)).alias("_v_n"), F.count_if("kept").alias("_v_kept"))
-    gone = ids.where("_v_kept = 0").select(F.col(id_col).alias("_v_gone"))
+    gone = materialize(ids.where("_v_kept = 0").select(F.col(id_col).alias("_v_gone")), "gone")
     mixed = materialize(ids.where("_v_kept > 0 and _v_n > _v_kept").select(F.col(id_col).alias("_v_gone")), "repeats")
-    rest = docs.join(gone.unionByName(mixed), docs[f"`{id_col}`"].eqNullSafe(F.col("_v_gone")), "left_anti")
+    out = gone.unionByName(mixed)
+    rest = docs.join(F.broadcast(out) if fits(out, BROADCAST_IDS) else out, docs[f"`{id_col}`"].eqNullSafe(F.col("_v_gone")), "left_anti")
     if mixed.isEmpty():
         return rest
     # ids on several rows of which some go: their rows are matched by text as well

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels.components import contract
-from .common import materialize, small_batches, without
+from .common import fits, materialize, small_batches, without
 
 #: Posting lists up to this length are paired; longer ones go the way that makes no pairs.
 PAIRED_LIST = 64
+#: Ids of documents to drop up to this number (16 MB) are broadcast; beyond it a shuffle join drops them.
+BROADCAST_IDS = 2_000_000
 _BLOCK = 1 << 20
 
 
@@ -127,6 +129,6 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     Rows with a null id stay; of rows repeating that smallest id all stay, as they are one document.
     """
     classes = near_duplicates(docs, text_col, id_col, width)
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_v_gone")).distinct()
-    kept = docs.join(gone, docs[f"`{id_col}`"] == gone["_v_gone"], "left_anti")
+    gone = materialize(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_v_gone")).distinct(), "gone")
+    kept = docs.join(F.broadcast(gone) if fits(gone, BROADCAST_IDS) else gone, docs[f"`{id_col}`"] == gone["_v_gone"], "left_anti")
     return without(kept, "_v_gone")

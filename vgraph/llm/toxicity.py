@@ -57,7 +57,7 @@ class Known(dict):
         self.wanted = wanted
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 100_000:
+        if len(self) > 60_000:
             self.clear()
         own = self[word] = tuple(f for f in stems(word) if f in self.wanted) if word[:3] in self.wanted or word[:3] + "*" in self.wanted or word in self.wanted else ()
         return own
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             for batch in batches:
                 for text in batch.column(0):
                     seen.update(marks(text.as_py()) if marks else terms(stem_counts(text.as_py())))
-                    if len(seen) > 300_000:
+                    if len(seen) > 100_000:
                         yield from out()
             yield from out()
 
