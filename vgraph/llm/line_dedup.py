@@ -22,8 +22,8 @@ from .common import fits, materialize, small_batches, without
 
 #: Lines are near when at most so many code points are inserted, deleted or changed between them, and both are at least so long.
 THRESHOLD, MIN_LENGTH = 2, 20
-#: A posting list that would make more pairs is not paired: its lines are posted again by the segments of what the shared segment leaves.
-PAIRED = 4096
+#: A posting list of more pairs is not paired: its lines are posted again by the segments of what the shared segment leaves.
+PAIRED = 1 << 22
 #: How often lists are divided so; lists of the last level are paired whatever their size.
 LEVELS = 4
 #: Candidate lines or keys up to this number (16 MB) are broadcast; beyond it a shuffle join finds them.
@@ -47,42 +47,91 @@ def segments(n: int, threshold: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), sizes[i]) for i in range(k)]
 
 
-_plans: dict[tuple[int, int], list] = {}
-
-
-def plan(n: int, threshold: int) -> list[tuple[int, int, int, bool]]:
-    """What a line of length n posts and probes: (start, size, name of the key, whether it posts)."""
-    if (n, threshold) not in _plans:
-        if len(_plans) > 20_000:
-            _plans.clear()
-        out = [(a, m, n * 16 + i, True) for i, (a, m) in enumerate(segments(n, threshold))]
-        for length in range(max(threshold + 1, n - threshold), n + 1):
-            d = n - length
-            for i, (a, m) in enumerate(segments(length, threshold)):
-                lo = max(0, a - i, a + d - (threshold - i))
-                hi = min(n - m, a + i, a + d + (threshold - i))
-                out += [(p, m, length * 16 + i, False) for p in range(lo, hi + 1)]
-        _plans[n, threshold] = out
-    return _plans[n, threshold]
-
-
-def postings(line: str, threshold: int, level: int, hot: list, above: int = 0, depth: int = 0):
-    """(key, posts) of a line at a level; below level 0 only within keys that were too long at each level above."""
-    if len(line) <= 2 * threshold:  # one so short has no segments; the longer ones that it may match probe for it
-        yield above, False
-    if len(line) <= threshold:
-        yield above, True
-        return
-    digest = xxhash.xxh64_intdigest
-    for a, m, name, posts in plan(len(line), threshold):
-        key = digest(line[a : a + m].encode(), (above + name * 0x9E3779B1) & 0xFFFFFFFFFFFFFFFF)
+_BASE, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[1])
+    return x ^ (x >> np.uint64(31))
+
+
+def keys_of(lines: list[str], threshold: int, above: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What lines post and probe, all at once: (line, key, whether it posts, start, end) of each.
+
+    A line posts its segments.  It probes for segments of lines up to the threshold shorter
+    and of its own length where they may have moved: segment i by at most i places from the
+    left and threshold - i from the right.  Lines of one length that keep a segment in its
+    place meet by their postings.  A key is a hash of length, segment number and content
+    (from prefix sums of powers, so any substring costs the same), and of ``above``.
+    """
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(code), _BASE, np.uint64)]) if len(code) else np.ones(1, np.uint64)
+    inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(code), _INVERSE, np.uint64)]) if len(code) else np.ones(1, np.uint64)
+    sums = np.r_[np.uint64(0), np.add.accumulate(code * power[:-1])]
+    origin = np.cumsum(n) - n
+    above = np.zeros(len(lines), np.uint64) if above is None else above
+    k, out = threshold + 1, []
+
+    def take(rows: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, i: int, posts: bool) -> None:
+        a = origin[rows] + start
+        content = (sums[a + size] - sums[a]) * inverse[a]
+        name = (length * 16 + i).astype(np.uint64) * np.uint64(_BASE)
+        out.append((rows, _mixed(_mixed(content + name) + above[rows]), np.full(len(rows), posts), start, start + size))
+
+    for d in range(threshold + 1):
+        length = n - d
+        some = np.flatnonzero(length > threshold)
+        base, more = length // k, length % k
+        for i in range(k):
+            start = i * base + np.maximum(0, i - (k - more))
+            size = base + (i >= k - more)
+            if not d:
+                take(some, start[some], size[some], length[some], i, True)
+            for o in range(-i, i + 1):
+                if abs(o - d) <= threshold - i and (d or o):
+                    p = start + o
+                    rows = some[(p[some] >= 0) & (p[some] + size[some] <= n[some])]
+                    take(rows, p[rows], size[rows], length[rows], i, False)
+    # too short for segments: such lines meet each other, and the longer ones that may match probe for them
+    for rows, posts in ((np.flatnonzero(n <= threshold), True), (np.flatnonzero((n > threshold) & (n <= 2 * threshold)), False)):
+        out.append((rows, _mixed(above[rows] + np.uint64(_MIX[1])), np.full(len(rows), posts), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def postings(lines: list[str], threshold: int, level: int, hot: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, whether it posts) at a level; below level 0 only within keys whose lists were too long at each level above.
+
+    ``hot``: sorted keys of each level above.  Two lines that share the segment that a key
+    stands for are within the threshold only if the rests of them are, so the rests are cut
+    and posted in turn.  A line that probed the segment meets those that posted it, not others
+    that probed it.
+    """
+    which, above, role, rest = np.arange(len(lines)), None, np.ones(len(lines), bool), lines
+    for depth in range(level + 1):
+        line, key, posts, start, end = keys_of(rest, threshold, above)
+        posts = posts & role[line]
         if depth == level:
-            yield key, posts
-        elif key - (1 << 63) in hot[depth]:
-            for deeper, own in postings(line[:a] + line[a + m :], threshold, level, hot, key, depth + 1):
-                # what the shared segment posts meets only what probed it
-                if own == posts:
-                    yield deeper, own
+            return which[line], key, posts
+        at = np.searchsorted(hot[depth], key)
+        some = np.flatnonzero(hot[depth][np.minimum(at, len(hot[depth]) - 1)] == key) if len(hot[depth]) else np.zeros(0, np.int64)
+        rest = [rest[k][:a] + rest[k][b:] for k, a, b in zip(line[some].tolist(), start[some].tolist(), end[some].tolist(), strict=True)]
+        which, above, role = which[line[some]], key[some], posts[some]
+    raise AssertionError
+
+
+#: Kinds of characters that a sketch counts.
+_KINDS = 8
+
+
+def sketches(lines: list[str]) -> np.ndarray:
+    """Of each line eight counts of kinds of characters, modulo 256. Within k edits, they differ by 2 k in all at most."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = ((code * np.uint32(0x9E3779B1)) >> np.uint32(29)).astype(np.int64)
+    return np.bincount(np.repeat(np.arange(len(lines)) * _KINDS, n) + kind, minlength=len(lines) * _KINDS).astype(np.uint8).view("<i8")
 
 
 def edit_distance(a: str, b: str, threshold: int) -> int:
@@ -136,84 +185,96 @@ def _shared(a: str, b: str, n: int) -> int:
     return lo
 
 
-def _post(texts: DataFrame, threshold: int, level: int, hot: list) -> DataFrame:
-    """key, line, probe: the postings and probes of all long lines, each line once a task and batch."""
+def _signed(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _post(texts: DataFrame, threshold: int, level: int, hot: list[np.ndarray]) -> DataFrame:
+    """key, line, probe, sketch: the postings and probes of all long lines, each line once a batch."""
     held = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for batch in batches:
-            keys, lines, probes, seen = [], [], [], set()
+            lines: dict[int, str] = {}
+            size = 0
 
             def out():
-                return pa.record_batch([pa.array((np.array(keys, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)), pa.array(lines, pa.int64()), pa.array(probes, pa.bool_())], ["key", "line", "probe"])
+                which, key, posts = postings(list(lines.values()), threshold, level, held.value)
+                hashes = np.fromiter(lines, np.int64, len(lines))
+                return pa.record_batch([pa.array(_signed(key)), pa.array(hashes[which]), pa.array(~posts), pa.array(sketches(list(lines.values()))[which])], ["key", "line", "probe", "sketch"])
 
             for text in batch.column(0):
                 for _, line in normal_lines(text.as_py()):
-                    if len(line) < MIN_LENGTH or (h := line_hash(line)) in seen:
-                        continue
-                    seen.add(h)
-                    own = list(postings(line, threshold, level, held.value))
-                    keys += [k for k, _ in own]
-                    lines += [h] * len(own)
-                    probes += [not p for _, p in own]
-                if len(keys) > 200_000:
+                    if len(line) >= MIN_LENGTH and (h := line_hash(line)) not in lines:
+                        lines[h] = line
+                        size += len(line)
+                if size > 1 << 19:
                     yield out()
-                    keys, lines, probes = [], [], []
-            if keys:
+                    lines, size = {}, 0
+            if lines:
                 yield out()
 
-    return texts.mapInArrow(run, "key bigint, line bigint, probe boolean")
+    return texts.mapInArrow(run, "key bigint, line bigint, probe boolean, sketch bigint")
 
 
-def _meet(posted: DataFrame, last: bool) -> DataFrame:
-    """a, b: pairs that meet under a key; or a = the key and b null where the list is too long to pair."""
+def _meet(posted: DataFrame, threshold: int, last: bool) -> DataFrame:
+    """a, b: pairs that meet under a key and whose sketches allow it; for lists too long to pair, a = the key and b = each of its lines, and ``long`` is true."""
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def batch_of(a, b, long):
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), long))], ["a", "b", "long"])
+
     def run(batches):
         held: list[tuple] = []
         size, skip = 0, None
 
-        def pairs(key, line, probe):
-            """Pairs of the groups in sorted rows, and the keys of those too long."""
+        def pairs(key, line, probe, kinds):
             heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[heads[1:], len(key)]
-            both = ~probe[heads] & probe[ends - 1]  # postings come before probes
-            a, b, long = [], [], []
-            for s, e in zip(heads[both].tolist(), ends[both].tolist(), strict=True):
+            # postings come before probes; a list needs one, and lines that differ
+            some = ~probe[heads] & (np.minimum.reduceat(line, heads) != np.maximum.reduceat(line, heads))
+            found = []
+            for s, e in zip(heads[some].tolist(), ends[some].tolist(), strict=True):
                 cut = s + int(np.searchsorted(probe[s:e], True))
-                left, right = np.unique(line[s:cut]), np.unique(line[cut:e])
+                left, first = np.unique(line[s:cut], return_index=True)
+                right, other = np.unique(line[s:e], return_index=True)
                 if not last and len(left) * len(right) > PAIRED:
-                    long.append(key[s])
+                    yield batch_of(np.full(len(right), key[s]), right, True)
                     continue
-                for x in left:
-                    other = right[right != x]
-                    a.append(np.minimum(other, x))
-                    b.append(np.maximum(other, x))
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.record_batch([pa.array(np.r_[both[:, 0], np.array(long, np.int64)]), pa.array(np.r_[both[:, 1], np.zeros(len(long), np.int64)], mask=np.r_[np.zeros(len(both), bool), np.ones(len(long), bool)])], ["a", "b"])
+                x, y = (kinds[s:e][k].view(np.int8).reshape(-1, _KINDS) for k in (first, other))
+                for k in range(len(left)):
+                    near = right[(np.abs((x[k] - y).astype(np.int16)).sum(axis=1) <= 2 * threshold) & (right != left[k])]
+                    if len(near):
+                        found.append(np.stack([np.minimum(near, left[k]), np.maximum(near, left[k])], axis=1))
+            if found:
+                both = np.unique(np.concatenate(found), axis=0)
+                yield batch_of(both[:, 0], both[:, 1], False)
 
         for batch in batches:
-            key, line, probe = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if skip is not None:
-                at = int(np.searchsorted(key, skip, side="right"))
-                key, line, probe = key[at:], line[at:], probe[at:]
-                if not len(key):
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if skip is not None:  # the rest of a list too long to hold
+                at = int(np.searchsorted(own[0], skip, side="right"))
+                if at:
+                    yield batch_of(own[0][:at], own[1][:at], True)
+                own = [x[at:] for x in own]
+                if not len(own[0]):
                     continue
                 skip = None
-            at = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            at = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0
             if at:
-                yield pairs(*(np.concatenate([h[i] for h in held] + [x[:at]]) for i, x in enumerate((key, line, probe))))
+                yield from pairs(*(np.concatenate([h[i] for h in held] + [x[:at]]) for i, x in enumerate(own)))
+                held, size = [], 0
+            held.append(tuple(x[at:] for x in own))
+            size += len(own[0]) - at
+            if size > PAIRED and not last:
+                skip = own[0][-1]
+                for h in held:
+                    yield batch_of(h[0], h[1], True)
                 held, size = [], 0
-            held.append((key[at:], line[at:], probe[at:]))
-            size += len(key) - at
-            if size > 50 * PAIRED and not last:
-                yield pa.record_batch([pa.array([key[-1]], pa.int64()), pa.array([None], pa.int64())], ["a", "b"])
-                held, size, skip = [], 0, key[-1]
         if held and size:
-            yield pairs(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+            yield from pairs(*(np.concatenate([h[i] for h in held]) for i in range(4)))
 
-    return posted.repartition(parts, "key").sortWithinPartitions("key", "probe").mapInArrow(run, "a bigint, b bigint")
+    return posted.repartition(parts, "key").sortWithinPartitions("key", "probe").mapInArrow(run, "a bigint, b bigint, long boolean")
 
 
 def _within(texts: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -243,18 +304,27 @@ def _within(texts: DataFrame, hashes: DataFrame) -> DataFrame:
     return lines.groupBy("line").agg(F.first("content").alias("content"))
 
 
+def _candidates(texts: DataFrame, threshold: int, level: int, hot: list[np.ndarray]) -> DataFrame:
+    """a, b of pairs that meet at a level or, for lists too long there, below it."""
+    met = materialize(_meet(_post(texts, threshold, level, hot), threshold, level == LEVELS), "met")
+    found = met.where("not long").select("a", "b")
+    long = met.where("long")
+    keys = long.select("a").distinct()
+    n = keys.count()
+    if not n:
+        return found
+    # below, only the lines of such lists are read, and keys go by in slices that a task can hold
+    lines = materialize(_within(texts, materialize(long.select(F.col("b").alias("line")).distinct(), "long")).select("content"), "long-lines")
+    slices = -(-n // BROADCAST_HASHES)
+    for k in range(slices):
+        own = [r.a for r in keys.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == k).collect()]
+        found = found.unionByName(_candidates(lines, threshold, level + 1, [*hot, np.sort(np.array(own, np.int64).view(np.uint64) ^ np.uint64(1 << 63))]))
+    return found
+
+
 def edit_links(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """a < b: hashes of all pairs of different lines within ``threshold`` edits, over a one-column DataFrame of texts."""
-    hot: list[frozenset] = []
-    found = None
-    for level in range(LEVELS + 1):
-        met = materialize(_meet(_post(texts, threshold, level, hot), level == LEVELS), "met")
-        pairs = met.where("b is not null")
-        found = pairs if found is None else found.unionByName(pairs)
-        keys = [r.a for r in met.where("b is null").select("a").distinct().limit(BROADCAST_HASHES).collect()]
-        if not keys:
-            break
-        hot.append(frozenset(keys))
+    found = _candidates(texts, threshold, 0, [])
     found = materialize(found.distinct(), "candidates")
     ends = found.select(F.col("a").alias("line")).union(found.select("b")).distinct()
     contents = materialize(_within(texts, materialize(ends, "ends")), "contents")
