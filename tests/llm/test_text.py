@@ -17,6 +17,7 @@ def test_main_text():
     four <p>caf&eacute;&nbsp;x &#233;<script>var a = "</p>";</script></p><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>
     <form><input name="q"><p>Subscribe</p></form><section id="comments"><p>Reader</p></section><!-- no --></article><footer>&copy;</footer></body></html>"""
     assert html_extract.main_text(page, set()) == "Title & more\n\nOne two three, four\n\ncafé x é\n\na\n\nb\n\nc d"
+    assert html_extract.main_text("<article><div class='entry-header'><div><h1>T</h1></div><span>by</span></div><p>x</p></article>", set()) == "T\n\nx"
     for none in (None, "", "<nav>x</nav>", "<!-- a", "<script>x"):
         assert html_extract.main_text(none, set()) == ""
     assert html_extract.main_text("plain text", set()) == "plain text"

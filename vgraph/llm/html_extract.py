@@ -41,7 +41,7 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
     r"cookie|cookies|consent|gdpr|notice|notices|alert|newsletter|subscribe|subscription|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|sidebars|aside|footer|masthead|header|topbar|toolbar|"
+    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|sidebars|aside|footer|copyright|masthead|header|topbar|toolbar|"
     r"comment|comments|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommended|recommendations|"
     r"widget|widgets|pagination|pager|skip|login|signup|search|searchbox)(?:$|[\s_-])"
 )
@@ -151,6 +151,14 @@ def articles(root: Node) -> list[Node]:
     return [root]
 
 
+def _below(node: Node):
+    todo = [c for c in reversed(node.children) if not isinstance(c, str)]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
+
+
 def _above(node: Node):
     while node.parent is not None:
         node = node.parent
@@ -210,8 +218,8 @@ def main_text(page: str | None, template: set[int]) -> str:
             elif isinstance(x, str):
                 line.append(x)
             elif x is not article and (noisy(x) or hashes.get(id(x)) is not None and _signed(hashes[id(x)]) in template and x.tag in BLOCKS):
-                if x.tag == "header":  # of the article: its headings are the title
-                    todo.extend(y for y in reversed(x.children) if not isinstance(y, str) and y.tag in HEADINGS)
+                if x.tag == "header" or "header" in x.attributes.get("class", "").lower():  # of the article: its headings are the title
+                    todo.extend(y for y in reversed(list(_below(x))) if y.tag in HEADINGS)
             elif x.tag in ("br", "td", "th", "wbr"):
                 line.append("" if x.tag == "wbr" else " ")
                 todo.extend(reversed(x.children))
