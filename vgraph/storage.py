@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='vgraph-')}"
+    folder = tempfile.mkdtemp(prefix="vgraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
