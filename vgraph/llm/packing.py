@@ -64,13 +64,20 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.end, self._tokenizer = path, end_id, None
         self.ranked = _ranked(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end = end_id
+        if self.ranked is not None:
+            self._tokenizer = None  # some 50 MB that few texts need; read again for the first of them
+
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
