@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vgraph.graph import Direction, Graph
 from vgraph.kernels import betweenness, components, degree, pagerank, paths
 from vgraph.operators import traversal, vertex_sets
+from vgraph.plans import program
 from vgraph.plans.program import VertexProgram, run
 
 PATH4 = [(0, 1, 1), (1, 2, 1), (2, 3, 1)]
@@ -83,6 +84,15 @@ def test_shortest_paths(spark):
     assert by_vid(paths.sssp(g, root, None).state, "dist") == {0: 0, 1: 1, 2: 1}
 
 
+def test_paths_longer_than_any_default_cap(spark, monkeypatch):
+    g = graph(spark, [(k, k + 1, 2) for k in range(140)])
+    assert by_vid(paths.sssp(g, paths.roots(g, 0)).state, "dist") == {k: 2 * k for k in range(141)}
+    # the bound of programs that never rest is not one of searches
+    monkeypatch.setattr(program, "MAX_SUPERSTEPS", 3)
+    short = graph(spark, [(k, k + 1, 2) for k in range(6)])
+    assert len(by_vid(paths.sssp(short, paths.roots(short, 0)).state, "dist")) == 7
+
+
 def test_strong_components(spark):
     edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 4), (6, 6)]
     g = graph(spark, [(a, b, 1) for a, b in edges])

@@ -33,10 +33,11 @@ def bfs(graph: Graph, sources: DataFrame, direction: Direction = Direction.OUT,
     return Run(out.state.where("level is not null").select("vid", "level", "label", "parent"), out.metrics)
 
 
-def sssp(graph: Graph, sources: DataFrame, weight: str | None = "w", direction: Direction = Direction.OUT, max_supersteps: int | None = 128) -> Run:
+def sssp(graph: Graph, sources: DataFrame, weight: str | None = "w", direction: Direction = Direction.OUT, max_supersteps: int | None = None) -> Run:
     """vid, dist, pred: least sums of edge weights (of ones without a weight), and the smallest last vertex before it on such a way.
 
-    Weights must not be negative.  A source keeps distance zero and no predecessor.
+    Rounds go on until no vertex is active, unless ``max_supersteps`` caps them.  Weights must
+    not be negative.  A source keeps distance zero and no predecessor.
     """
     step = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     better = F.col("dist").isNull() | (F.col("best.d") < F.col("dist"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..graph import Direction, Graph
 from ..operators.traversal import combine, messages
 from ..storage import bucketed, drop
 
-#: Rounds run at most where a program names no number.
+#: Rounds run at most where vertices do not halt by themselves and no number is given.
 MAX_SUPERSTEPS = 1024
 
 
@@ -67,6 +68,7 @@ class Run:
 def run(program: VertexProgram, graph: Graph, sources: DataFrame | None = None, max_supersteps: int | None = None, vertices: DataFrame | None = None) -> Run:
     """Run rounds until no vertex is active or the cap is reached.
 
+    Without ``max_supersteps`` a program whose vertices halt has no cap.
     ``sources``: ids (vid) that are active first, whatever ``active`` says; None: all
     vertices for which ``active`` holds.  ``vertices``: the graph's with further columns for
     the hooks, which stay in the state; so the state of one run can start the next.  The next
@@ -74,7 +76,7 @@ def run(program: VertexProgram, graph: Graph, sources: DataFrame | None = None,
     """
     if not program.combine or not program.message:
         _missing()
-    cap = max_supersteps if max_supersteps and max_supersteps > 0 else MAX_SUPERSTEPS
+    cap = max_supersteps if max_supersteps and max_supersteps > 0 else None if program.halt else MAX_SUPERSTEPS
     base = graph.vertices if vertices is None else vertices
     first = F.lit(True) if program.active is None else program.active
     state = base
@@ -88,7 +90,7 @@ def run(program: VertexProgram, graph: Graph, sources: DataFrame | None = None,
     names = [c for c in state.columns if c != "active"]
     n = graph.partitions
     state, metrics = bucketed(state.repartition(n, "vid"), "vid", n, "state"), []
-    for step in range(cap):
+    for step in count() if cap is None else range(cap):
         began = time.perf_counter()
         sent = messages(state.where("active"), graph, program.message, program.direction)
         got = combine(sent, program.combine)
