@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vgraph import queries
 from vgraph.graph import Direction, Graph
 from vgraph.kernels import betweenness, components, degree, pagerank, paths
 from vgraph.operators import traversal, vertex_sets
@@ -99,6 +100,25 @@ def test_strong_components(spark):
     assert by_vid(components.strong(g), "component") == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
 
 
+def test_strong_components_against_brute_force(spark):
+    rng = random.Random(2)
+    for n, m in ((12, 20), (25, 40)):
+        edges = [(rng.randrange(n), rng.randrange(n), 1) for _ in range(m)]
+        reach = [{k} for k in range(n)]
+        for _ in range(n):
+            for a, b, _ in edges:
+                reach[a] |= reach[b]
+        want = {k: min(x for x in reach[k] if k in reach[x]) for k in range(n)}
+        assert len(set(want.values())) not in (1, n)
+        assert by_vid(components.strong(graph(spark, edges, n)), "component") == want
+
+
+def test_strong_components_are_registered_over_a_whole_graph(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = {r.vid for r in queries._next(spark, sf).vertices.collect()}
+    assert set(by_vid(queries.QUERIES["scc_next"](spark, sf), "component")) == ids
+
+
 def test_relabelling_permutes_and_partitions_do_not_matter(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(30), rng.randrange(30), rng.randint(1, 9)) for _ in range(60)]

@@ -304,6 +304,12 @@ def scc(spark, sf):
     return components.strong(Graph.from_edges(e))
 
 
+@query(_sql(_NEXT, "SELECT a.x AS vid, least(a.x, coalesce(min(a.y), a.x)) AS component FROM (SELECT v.vid AS x, NULL AS y FROM v UNION ALL SELECT f.x, f.y FROM t f JOIN t g ON f.x = g.y AND f.y = g.x) a GROUP BY a.x", True, """t(x, y) AS (SELECT src, dst FROM e UNION SELECT t.x, e.dst FROM t JOIN e ON e.src = t.y)"""))
+def scc_next(spark, sf):
+    """Strong components of the whole graph of parts."""
+    return components.strong(_next(spark, sf))
+
+
 # --- betweenness ------------------------------------------------------------------------------
 
 _FORWARD = """f AS (SELECT 0::BIGINT AS lvl, 0::BIGINT AS vid, 1::HUGEINT AS paths UNION ALL
