@@ -218,3 +218,16 @@ def test_line_duplicates_against_brute_force(spark, monkeypatch):
     assert line_dedup.line_duplicates(df.where("false")).count() == 0
     summary = {r.doc_id: r for r in line_dedup.documents_summary(line_dedup.line_duplicates(df.where("doc_id = 402")), df.where("doc_id = 402")).collect()}
     assert (summary[402].n_lines, summary[402].n_removed, summary[402].n_chars_kept) == (3, 2, 5)
+
+
+def test_registered_line_dedup_names_classes_and_removed_lines(spark, tmp_path):
+    from vgraph.llm.queries import QUERIES
+
+    near = "a line of text that is long enough to be near"
+    docs = [(1, f"{near}\nalone\n{near}s"), (2, f"other\n\n{near}"), (3, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op7_line_dedup"](spark, str(tmp_path))
+    got = {(r.doc_id, r.at): r for r in out.collect()}
+    assert {k: (r.n_links, r.kept) for k, r in got.items()} == {(1, 0): (1, True), (1, 1): (0, True), (1, 2): (1, False), (2, 0): (0, True), (2, 2): (1, False)}
+    assert got[1, 0].class_id == got[1, 2].class_id == got[2, 2].class_id
+    assert len({r.class_id for r in got.values()}) == 3 and got[1, 0].line == got[2, 2].line != got[1, 2].line

@@ -10,7 +10,7 @@ from . import toxicity
 from .brown import brown_scores
 from .exact_dedup import exact_duplicates
 from .html_extract import extract
-from .line_dedup import documents_summary, line_duplicates
+from .line_dedup import line_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality import quality
@@ -147,8 +147,7 @@ def op2_html_extraction(spark, sf_dir):
 
 @query()
 def op7_line_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return documents_summary(line_duplicates(docs), docs)
+    return line_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "at", "line", "class_id", "n_links", "kept")
 
 
 @query()
