@@ -177,3 +177,10 @@ def test_findings_and_redaction(spark):
     assert out.columns == df.columns and texts[1] == 'großer token = "[secret]" end' and texts[2] is None and texts[4] == rows[3][1]
     assert texts[6] == "password: [secret] then secret_key='[secret]'"
     assert secrets.findings(df.where("false"), forest).count() == 0
+
+
+def test_features_read_whole_candidates():
+    for kind in ("private_key", "token"):
+        text = "A" * 5000 + "9" * 3000
+        f = dict(zip(secrets.FEATURES, secrets.features(text, 0, 8000, kind), strict=True))
+        assert abs(f["length"] - np.log(8000)) < 1e-9 and f["digits"] == 3000 / 8000 and f["upper"] == 5000 / 8000

@@ -86,7 +86,7 @@ _ordinary = Transitions(COMMON + OTHER_WORDS)
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
-    value = text[start:end][:4096] if kind != "private_key" else text[start : min(end, start + 400)]
+    value = text[start:end]
     n = len(value)
     before, after = text[max(0, start - NEIGHBOURHOOD) : start], text[end : end + NEIGHBOURHOOD]
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
