@@ -1,10 +1,13 @@
 """HTML extraction, quality rules, toxicity and secret scans."""
 
+import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vgraph.llm import html_extract, quality, secrets, toxicity
@@ -146,6 +149,64 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.where("false"), toxicity.fit(docs.where("false"), labels)).count() == 0
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the generated tables")
+def test_toxicity_against_brute_force(spark):
+    """Weights, cosines, neighbours, votes, scores and evidence of all documents, computed densely."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(toxicity.fold() != 0)
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).collect()
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    texts = {r.doc_id: r.text or "" for r in rows}
+    same = {}
+    for k in sorted(set(toxic) & set(texts)):
+        same.setdefault(texts[k], []).append(k)
+    examples = {ks[0]: int(sum(toxic[k] for k in ks) * 2 >= len(ks)) for ks in same.values()}
+    assert sorted(model.ids) == sorted(examples)
+    words = {k: Counter(re.findall(r"\w+", texts[k].lower())) for k in texts}
+    p_all, total = sum(examples.values()), len(examples)
+    n_all = total - p_all
+    weight = {}
+    for w in {w for k in examples for w in words[k]}:
+        p = sum(examples[k] for k in examples if w in words[k])
+        n = sum(1 - examples[k] for k in examples if w in words[k])
+        stands_out = 0.0
+        if p / p_all > n / n_all:
+            for seen, size in ((p, p_all), (n, n_all)):
+                for o, e in ((seen, (p + n) * size / total), (size - seen, (total - p - n) * size / total)):
+                    stands_out += 2 * o * math.log(o / e) if o else 0
+        weight[w] = math.log(1 + total / (p + n)) * (1 + stands_out)
+
+    def vector(own):
+        v = {w: weight[w] * (1 + math.log(n)) for w, n in own.items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {k: vector(words[k]) for k in examples}
+    assert sum(bool(r.evidence) for r in rows) == sum(any(w in weight for w in words[k]) for k in texts)
+    for r in rows:
+        mine = vector(words[r.doc_id])
+        cosine = {k: c for k, v in vectors.items() if (c := sum(x * v.get(w, 0) for w, x in mine.items())) > 0}
+        best = sorted(cosine.values(), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose([e.similarity for e in r.evidence], best, atol=1e-9)
+        assert all(abs(cosine[e.id] - e.similarity) < 1e-9 and e.label == examples[e.id] for e in r.evidence)
+        if r.evidence:
+            votes = sum(e.similarity**2 * e.label for e in r.evidence) + toxicity.PRIOR_WEIGHT * (p_all + 0.5) / (total + 1)
+            share = votes / (sum(e.similarity**2 for e in r.evidence) + toxicity.PRIOR_WEIGHT)
+            assert abs(r.score - 1 / (1 + math.exp(-(model.slope * math.log(share / (1 - share)) + model.shift)))) < 1e-9
+
+
+def test_toxicity_with_string_ids_and_null_ids(spark):
+    docs, labels = toxic_fixture(spark)
+    docs = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("string")))
+    labels = labels.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(rows) == docs.count() and all(e.id.startswith("d") for r in rows for e in r.evidence)
+
+
 def test_secret_candidates():
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     assert secrets.candidates(f'x token = "{key}" y') == [(11, 51, "keyed")]

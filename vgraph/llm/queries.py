@@ -95,7 +95,7 @@ def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(toxicity.fold() != 0)
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(toxicity.fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query(r"""

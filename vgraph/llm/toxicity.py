@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings, each also as a term of its own when it comes twice and
-three times; those whose share among toxic examples stands out from that among others span
-the vector space.  An index over a bounded number of labelled examples answers each text with its
-exactly nearest ones; votes weighted by closeness, calibrated on the examples themselves
-(each left out of its own vote), give the score, and the voters are the evidence.
+Every word of the labelled sample spans the vector space.  A word weighs its inverse document
+frequency, times one plus its log-likelihood ratio for the toxic class where it is commoner
+there (supervised TF-IDF: without it the few words that mark a text drown in its ordinary
+ones), and counts within a text on a logarithmic scale.  An index over a bounded number of
+labelled examples answers each text with its exactly nearest ones; votes weighted by
+closeness, calibrated on the examples themselves (each left out of its own vote), give the
+score, and the voters are the evidence.
 """
 
 from __future__ import annotations
@@ -17,72 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import fits, materialize, small_batches, without
 
 #: Labelled texts that the model is fitted on at most: those with the smallest hashes of their ids.
-EXAMPLES = 20_000
-#: Terms that span the space at most, the log-likelihood ratio by which their share must stand out, and terms of toxic examples tried for it at most.
-VOCABULARY, STANDING_OUT, TRIED = 4096, 28.0, 200_000
-#: Lengths of the word beginnings that are terms.
-BEGINNINGS = range(3, 8)
-#: Labels up to this number (32 MB) are broadcast to find their texts; beyond it a shuffle join does.
-BROADCAST_LABELS = 2_000_000
+EXAMPLES = 2_000
+#: Labels up to this number are broadcast to find their texts (a hash relation of 2,000,000 takes some 150 MB); beyond it a shuffle join does.
+BROADCAST_LABELS = 500_000
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 16, 64, 0.5
 
 _WORD = re.compile(r"\w+")
 
 
-def stems(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in BEGINNINGS if k < len(word))]
-
-
-def terms(often: Counter) -> list[str]:
-    """Terms of a text whose stems come so often."""
-    return [f if k == 1 else f"{f} {k}" for f, n in often.items() for k in range(1, min(n, 3) + 1)]
-
-
-def stem_counts(text: str | None) -> Counter:
-    often: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        for f in stems(word):
-            often[f] += n
-    return often
-
-
-class Known(dict):
-    """Which wanted stems a word has, found once for each distinct word and remembered for a bounded number of them, as most words have none."""
-
-    def __init__(self, wanted: set[str]):
-        self.wanted = wanted
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 60_000:
-            self.clear()
-        own = self[word] = tuple(f for f in stems(word) if f in self.wanted) if word[:3] in self.wanted or word[:3] + "*" in self.wanted or word in self.wanted else ()
-        return own
-
-    def __reduce__(self):
-        return Known, (self.wanted,)
-
-
-class Marks:
-    """Places of a text's terms in a vocabulary."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.place = {w: k for k, w in enumerate(vocabulary)}
-        wanted = {w.split(" ")[0] for w in vocabulary}
-        self.stems, self.known = wanted, Known(wanted | {w[:3] for w in wanted})
-
-    def __call__(self, text: str | None) -> list[int]:
-        often: Counter = Counter()
-        for own in filter(None, map(self.known.__getitem__, _WORD.findall((text or "").lower()))):
-            often.update(own)
-        return sorted(self.place[t] for t in terms(often) if t in self.place)
+def word_counts(text: str | None) -> Counter:
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors in example order, with each term's largest impact in every block of examples."""
+    """Postings of unit vectors, with each term's largest impact in every block of examples that it occurs in."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
@@ -93,9 +48,13 @@ class BlockMaxIndex:
         by_term = np.lexsort((at, term))
         self.docs, self.impacts, term = at[by_term], impact[by_term], term[by_term]
         self.blocks = max(1, -(-len(vectors) // BLOCK))
-        self.starts = np.searchsorted(term * self.blocks + self.docs // BLOCK, np.arange(n_terms * self.blocks + 1))
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (term, self.docs // BLOCK), self.impacts)
+        # a chunk is a term's postings within a block
+        name = term * self.blocks + self.docs // BLOCK
+        heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
+        self.start, self.size = heads, np.diff(np.r_[heads, len(name)])
+        self.block = self.docs[heads] // BLOCK
+        self.most = np.maximum.reduceat(self.impacts, heads) if len(heads) else np.zeros(0)
+        self.chunks = np.searchsorted(term[heads], np.arange(n_terms + 1))
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest cosine above zero, ties by place, and their cosines.
@@ -103,48 +62,72 @@ class BlockMaxIndex:
         Blocks are scored from the largest bound down until no bound reaches the k-th best.
         """
         term, weight = query
-        bounds = weight @ self.most[term]
+        chunk, n = _ranges(self.chunks[term], self.chunks[term + 1])
+        weight = np.repeat(weight, n)
+        bounds = np.bincount(self.block[chunk], weight * self.most[chunk], self.blocks)
         todo = np.argsort(-bounds, kind="stable")
         todo = todo[bounds[todo] > 0]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        first, step = 0, 4
+        first, step = 0, 8
         while first < len(todo) and not (len(score) >= k and bounds[todo[first]] < score[k - 1] - 1e-12):
-            blocks = todo[first : first + step]
-            at = term[:, None] * self.blocks + blocks
-            begin, n = self.starts[at].ravel(), (self.starts[at + 1] - self.starts[at]).ravel()
-            rows = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            place = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(term)), n) + self.docs[rows] % BLOCK
-            sums = np.bincount(place, np.repeat(np.repeat(weight, len(blocks)), n) * self.impacts[rows], len(blocks) * BLOCK)
+            now = np.zeros(self.blocks, bool)
+            now[todo[first : first + step]] = True
+            own = np.flatnonzero(now[self.block[chunk]])
+            start = self.start[chunk[own]]
+            rows, n = _ranges(start, start + self.size[chunk[own]])
+            sums = np.bincount(self.docs[rows], np.repeat(weight[own], n) * self.impacts[rows], self.blocks * BLOCK)
             hit = np.flatnonzero(sums)
-            docs = np.concatenate([best, blocks[hit // BLOCK] * BLOCK + hit % BLOCK])
-            scores = np.concatenate([score, sums[hit]])
-            keep = self.order[docs] != but
-            docs, scores = docs[keep], scores[keep]
+            docs, scores = np.concatenate([best, hit]), np.concatenate([score, sums[hit]])
+            if but >= 0:
+                keep = self.order[docs] != but
+                docs, scores = docs[keep], scores[keep]
+            if len(docs) > 4 * k:  # all that can be among the best, ties included
+                keep = scores >= np.partition(scores, -k)[-k]
+                docs, scores = docs[keep], scores[keep]
             top = np.lexsort((docs, -scores))[:k]
             best, score = docs[top], scores[top]
-            first, step = first + step, step * 2
+            first, step = first + step, step * 4
         return self.order[best], score
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and how many each has."""
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
 class Model:
-    """What scoring needs; its size is bounded by EXAMPLES and VOCABULARY."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list, vectors: list[list[int]], labels: np.ndarray):
-        self.marks = Marks(vocabulary)
-        self.idf, self.ids, self.labels = idf, ids, np.asarray(labels, float)
-        self.index = BlockMaxIndex([self.weigh(v) for v in vectors], len(vocabulary))
-        self.prior = (self.labels.sum() + 0.5) / (len(self.labels) + 1.0)
-        bare = np.array([not v for v in vectors], bool)
+    """What scoring needs; its size is bounded by the texts of EXAMPLES examples."""
+
+    def __init__(self, ids: list, counts: list[Counter], labels: np.ndarray, id_type: T.DataType | None = None):
+        self.ids, self.labels, self.id_type = ids, np.asarray(labels, float), id_type or T.LongType()
+        p_all = int(self.labels.sum())
+        n_all = len(self.labels) - p_all
+        everywhere, toxic = Counter(), Counter()
+        for own, y in zip(counts, self.labels, strict=True):
+            everywhere.update(own.keys())
+            if y:
+                toxic.update(own.keys())
+        self.place = {w: k for k, w in enumerate(sorted(everywhere))}
+        self.weight = np.array([np.log(1 + len(counts) / everywhere[w]) * (1 + _ratio(toxic[w], everywhere[w] - toxic[w], p_all, n_all)) for w in self.place])
+        vectors = [self.weigh(c) for c in counts]
+        self.index = BlockMaxIndex(vectors, len(self.place))
+        self.prior = (p_all + 0.5) / (len(self.labels) + 1.0) if counts else 0.0
+        bare = np.array([not c for c in counts], bool)
         self.bare = float((self.labels[bare].sum() + 0.5) / (bare.sum() + 1.0)) if bare.any() else float(self.prior)
         self.slope, self.shift = 1.0, 0.0
-        votes = [(self.vote(self.weigh(v), k)[0], y) for k, (v, y) in enumerate(zip(vectors, self.labels, strict=True)) if v]
+        votes = [(self.vote(v, k)[0], y) for k, (v, y) in enumerate(zip(vectors, self.labels, strict=True)) if len(v[0])]
         if votes:
             self.calibrate(*(np.array(x) for x in zip(*votes, strict=True)))
 
-    def weigh(self, term: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(term, np.int64)
-        w = self.idf[t]
-        return t, w / (np.linalg.norm(w) or 1.0)
+    def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a unit vector; words that no example has are no terms."""
+        own = [(k, n) for w, n in counts.items() if (k := self.place.get(w)) is not None]
+        if not own:
+            return np.zeros(0, np.int64), np.zeros(0)
+        t, n = np.array(own, np.int64).T
+        w = self.weight[t] * (1 + np.log(n))
+        return t, w / np.linalg.norm(w)
 
     def vote(self, query: tuple[np.ndarray, np.ndarray], but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         near, cosine = self.index.nearest(query, NEIGHBOURS, but)
@@ -169,68 +152,36 @@ class Model:
             self.slope, self.shift = a
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        found = self.marks(text)
-        if not found:
+        found = self.weigh(word_counts(text))
+        if not len(found[0]):
             return self.bare, []
-        vote, near, cosine = self.vote(self.weigh(found))
+        vote, near, cosine = self.vote(found)
         p = 1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift)))
         return float(p), [{"id": self.ids[d], "similarity": float(c), "label": int(self.labels[d])} for d, c in zip(near, cosine, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Model:
-    """A model from the texts of ``docs`` that ``labels`` marks; equal texts count once, by majority.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES) -> Model:
+    """A model from at most ``examples`` texts of ``docs`` that ``labels`` marks; equal texts count once, by majority.
 
-    Null ids and null labels are ignored; without any label every text scores one half.
+    Null ids and null labels are ignored; null texts are empty; without any label every text
+    scores zero.  Of rows that share an id and differ in text, each is an example.
     """
     small_batches(docs)
-    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    own = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     small = fits(own, BROADCAST_LABELS)
-    hashed = texts.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(F.broadcast(own) if small else own, "id")
-    train = hashed.groupBy("h").agg(F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y")).select("id", "y")
-    sample = materialize(train.orderBy(F.xxhash64("id"), "id").limit(EXAMPLES), "examples")
-    marked = materialize(texts.join(F.broadcast(sample), "id"), "labelled")
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    p_all, n_all = sizes.get(1, 0), sizes.get(0, 0)
-    if not p_all or not n_all:
-        return Model([], np.zeros(0), [], [[]] * (p_all + n_all), np.array([1.0] * p_all + [0.0] * n_all))
-
-    def count(wanted: list[str] | None):
-        """Counts over texts by task, of all terms or of those wanted."""
-
-        def run(batches):
-            seen: Counter = Counter()
-            marks = wanted and Marks(wanted)
-
-            def out():
-                yield pa.record_batch([pa.array([wanted[k] for k in seen] if marks else list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-                seen.clear()
-
-            for batch in batches:
-                for text in batch.column(0):
-                    seen.update(marks(text.as_py()) if marks else terms(stem_counts(text.as_py())))
-                    if len(seen) > 100_000:
-                        yield from out()
-            yield from out()
-
-        return lambda df: df.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-
-    # with none among the others, a term stands out only if so many toxic examples have it
-    enough = STANDING_OUT / 2 / np.log((p_all + n_all) / p_all)
-    toxic = {r.term: r.n for r in count(None)(marked.where("y = 1")).where(F.col("n") >= enough).orderBy(F.desc("n"), "term").limit(TRIED).collect()}
-    clean = {r.term: r.n for r in count(list(toxic))(marked.where("y = 0")).collect()} if toxic else {}
-    ratio = {w: _ratio(p, clean.get(w, 0), p_all, n_all) for w, p in toxic.items()}
-    vocabulary = sorted((w for w, g in ratio.items() if g >= STANDING_OUT), key=lambda w: (-ratio[w], w))[:VOCABULARY]
-    idf = np.array([np.log(1 + (p_all + n_all) / (toxic[w] + clean.get(w, 0))) for w in vocabulary])
-    marks = Marks(vocabulary)
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def features(column: pa.Array) -> pa.Array:
-        return pa.array([marks(t.as_py()) for t in column], pa.list_(pa.int32()))
-
-    rows = marked.select("id", "y", features("text").alias("f")).collect()
-    rows = sorted({r.id: r for r in rows}.values(), key=lambda r: r.id)
-    return Model(vocabulary, idf, [r.id for r in rows], [r.f for r in rows], np.array([r.y for r in rows]))
+    hashed = texts.select("id", "h").join(F.broadcast(own) if small else own, "id")
+    train = hashed.groupBy("h").agg(F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y"))
+    sample = materialize(train.orderBy(F.xxhash64("id"), "id", "h").limit(examples), "examples")
+    words = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType())]))
+
+    @F.arrow_udf(words)
+    def count(column: pa.Array) -> pa.Array:
+        return pa.array([[{"word": w, "n": n} for w, n in word_counts(t.as_py()).items()] for t in column], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))
+
+    rows = texts.join(F.broadcast(sample), ["id", "h"]).select("id", "h", "y", count("text").alias("words")).collect()
+    rows = sorted({(r.id, r.h): r for r in rows}.values(), key=lambda r: (r.id, r.h))
+    return Model([r.id for r in rows], [Counter({x.word: x.n for x in r.words}) for r in rows], np.array([r.y for r in rows], float), docs.schema[id_col].dataType)
 
 
 def _ratio(p: int, n: int, p_all: int, n_all: int) -> float:
@@ -245,12 +196,14 @@ def _ratio(p: int, n: int, p_all: int, n_all: int) -> float:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1), predicted (1 from one half on) and evidence (the nearest examples: id, similarity, label).
 
-    Null, empty and markless texts score the share of toxic ones among such examples.  Every
-    row is scored from its whole text alone, so ties, repeated rows and other columns do not matter.
+    Null, empty and wordless texts score the share of toxic ones among such examples, and so
+    do texts without any word of an example; they have no evidence.  Every row is scored from
+    its whole text alone, so ties, repeated rows and other columns do not matter; an empty
+    table gives no rows.
     """
     held = small_batches(docs).sparkContext.broadcast(model)
-    evidence = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
-    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))])
+    evidence = T.ArrayType(T.StructType([T.StructField("id", model.id_type), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
+    kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("id", to_arrow_type(model.id_type)), ("similarity", pa.float64()), ("label", pa.int32())])))])
 
     @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)]))
     def judge(texts: pa.Array) -> pa.Array:
