@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left
 from operator import neg
@@ -25,10 +26,13 @@ from .common import materialize, small_batches, without
 
 #: Buckets into which each length is cut to rank its pieces; a length that a third of all pieces share is ranked in so many groups.
 RANK_BUCKETS = 1024
-#: Steps after which the search returns its incumbent.  Any packing it returns is whole and valid; more steps can only save sequences.
-SEARCH_STEPS = 5_000
-#: Items of a filling at most that is tested for being dominated; more are kept as if they were not.
+#: Steps of the quick search, which tries the few best fillings of a bin, and of the exhaustive one after it.  The first to
+#: run out of steps ends with its incumbent: any packing it returns is whole and valid; more steps can only save sequences.
+QUICK_STEPS, SEARCH_STEPS = 5_000, 100_000
+#: Items of a filling at most that is tested for being dominated; more are kept as if they were not, which only costs steps.
 DOMINATED = 6
+#: Text with so long a run of white space goes through the tokenizers library, as the ranks' pattern would run out of stack on a longer one.
+LONG_SPACE = re.compile(r"\s{2000}")
 
 def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on in order."""
@@ -59,8 +63,8 @@ def _ranked(tokenizer):
 class Encoder:
     """Token ids of texts, as the tokenizers library gives them for a file, as little-endian unsigned 32-bit bytes.
 
-    Texts without a special token's string go through the equal merge ranks where there are
-    such; tests hold the two against each other.
+    Texts without a special token's string and very long white space go through the equal
+    merge ranks where there are such; tests hold the two against each other.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -81,7 +85,7 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if self.ranked is None or any(s in text for s in self.special):
+        if self.ranked is None or any(s in text for s in self.special) or LONG_SPACE.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranked.encode_ordinary(text)
@@ -166,7 +170,7 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 
 
 def fillings(space: int, lengths: list[int], counts: dict[int, int], waste: int, most: int = 6, effort: int = 400) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``space``, least waste first, each wasting at most ``waste``.
+    """The best undominated ways to fill ``space``, least waste first, each wasting at most ``waste``.
 
     ``lengths`` descend.  Only maximal fillings are made, longest items first; ``effort``
     bounds the tries and ``most`` what is kept.
@@ -205,63 +209,98 @@ def fillings(space: int, lengths: list[int], counts: dict[int, int], waste: int,
     return kept
 
 
+def all_fillings(space: int, lengths: list[int], counts: dict[int, int], waste: int, budget: list[int]):
+    """Every undominated way to fill ``space`` that wastes at most ``waste``, one by one, longest items first.
+
+    Only fillings that take no further item are made; each try takes one from ``budget[0]``,
+    and none comes after it is used up.  One that an earlier one dominates is left out.
+    """
+    kept: list[tuple[int, ...]] = []
+
+    def extend(at: int, left: int, chosen: tuple[int, ...]):
+        budget[0] -= 1
+        if budget[0] < 0:
+            return
+        if left <= waste and not any(n <= left and chosen.count(n) < counts[n] for n in lengths[bisect_left(lengths, -left, key=neg) :]):
+            if not any(_dominates(k, chosen) for k in kept):
+                kept.append(chosen)
+                yield chosen
+        for k in range(bisect_left(lengths, -left, at, key=neg), len(lengths)):
+            n = lengths[k]
+            for many in range(min(counts[n], left // n), 0, -1):
+                yield from extend(k + 1, left - many * n, (*chosen, *(n,) * many))
+
+    yield from extend(0, space, ())
+
+
 def complete(counts: dict[int, int], capacity: int, steps: int = SEARCH_STEPS) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Patterns that pack a histogram of lengths below ``capacity`` into few bins.
 
-    Best-fit decreasing is the first incumbent.  The search takes the longest item left,
-    branches over the undominated fillings around it, each used as often as the items last,
-    and drops a branch once its waste rules out saving a bin over the incumbent.
+    Best-fit decreasing is the first incumbent; a search over the best few fillings of each
+    bin, each used as often as the items last, is quick to better it.  Unless the bins are then
+    as few as the lengths need at least, an exhaustive search over all undominated fillings
+    and all numbers of times follows; if it ends within ``steps``, the bins are the fewest.
     """
     best = best_fit(counts, capacity)
+    best = _search(best, counts, capacity, [QUICK_STEPS], False)
+    return _search(best, counts, capacity, [steps], True)
+
+
+def _search(best: list, counts: dict[int, int], capacity: int, budget: list[int], exhaustive: bool) -> list:
+    """Bin completion by branch-and-bound with ``best`` as the incumbent.
+
+    The search takes the longest item left, branches over the fillings around it, and drops a
+    branch once its waste rules out saving a bin over the incumbent.
+    """
     bins, total = sum(t for t, _ in best), sum(n * c for n, c in counts.items())
     least = -(-total // capacity)
     left, taken, waste = dict(counts), [], 0
     stack: list = []
 
-    def branch() -> None:
+    def options():
         lengths = sorted(left, reverse=True)
         head = lengths[0]
         after = {n: c - (n == head) for n, c in left.items()}
         free = (bins - 1) * capacity - total - waste
-        options = fillings(capacity - head, [n for n in lengths if after[n] > 0], after, free)
-        stack.append(iter([(head, f) for f in options]))
+        rest = [n for n in lengths if after[n] > 0]
+        for fill in all_fillings(capacity - head, rest, after, free, budget) if exhaustive else fillings(capacity - head, rest, after, free):
+            pattern = tuple((n, (head, *fill).count(n)) for n in sorted({head, *fill}, reverse=True))
+            lost = capacity - head - sum(fill)
+            most = min(left[n] // many for n, many in pattern)
+            for times in range(most, 0, -1) if exhaustive else (min(most, free // lost) if lost else most,):
+                yield times, pattern, times * lost
+
+    def undo() -> int:
+        times, pattern, lost = taken.pop()
+        for n, many in pattern:
+            left[n] = left.get(n, 0) + times * many
+        return lost
 
     if bins > least and left:
-        branch()
-    while stack and steps > 0 and bins > least:
-        steps -= 1
+        stack.append(options())
+    while stack and budget[0] > 0 and bins > least:
+        budget[0] -= 1
         option = next(stack[-1], None)
         if option is None:
             stack.pop()
             if taken:
-                times, pattern, lost = taken.pop()
-                waste -= lost
-                for n, many in pattern:
-                    left[n] = left.get(n, 0) + times * many
+                waste -= undo()
             continue
-        head, fill = option
-        pattern = tuple((n, (head, *fill).count(n)) for n in sorted({head, *fill}, reverse=True))
-        free = (bins - 1) * capacity - total - waste
-        lost = capacity - head - sum(fill)
-        times = min(left[n] // many for n, many in pattern)
-        if lost:
-            times = min(times, free // lost) if free >= lost else 0
-        if not times:
+        times, pattern, lost = option
+        # the incumbent may have got better since the options were laid out
+        if not times or waste + lost > (bins - 1) * capacity - total:
             continue
         for n, many in pattern:
             left[n] -= times * many
             if not left[n]:
                 del left[n]
-        taken.append((times, pattern, times * lost))
-        waste += times * lost
+        taken.append(option)
+        waste += lost
         if left:
-            branch()
+            stack.append(options())
             continue
         best, bins = [(t, p) for t, p, _ in taken], sum(t for t, _, _ in taken)
-        times, pattern, lost = taken.pop()
-        waste -= lost
-        for n, many in pattern:
-            left[n] = left.get(n, 0) + times * many
+        waste -= undo()
     return best
 
 
@@ -285,7 +324,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     A document is its token ids and ``end_id``; null and empty texts are that one id.  Only
     documents over ``capacity`` are cut, the first piece taking the odd length.  Every row of
     ``docs``, repeated ones and null ids included, is packed as a document of its own; an
-    empty table gives no rows.  Other columns of ``docs`` are not read.
+    empty table gives no rows.  Texts of any length are read whole by one task, long runs of
+    one character too.  Other columns of ``docs`` are not read.
     """
     spark = small_batches(docs)
     cut = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(pieces_of(F.col(f"`{text_col}`"), tokenizer, end_id, capacity, with_ids)).alias("p"))
