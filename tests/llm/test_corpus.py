@@ -62,6 +62,22 @@ def test_mix(spark):
     assert mixing.mix(df.where("false"), (3, 1, 2), 1.5).count() == 0
 
 
+def test_mixed_keeps_values_of_clashing_columns(spark):
+    df = documents(spark)
+    clash = df
+    for name in ("size", "source_size", "target", "copies", "taken"):
+        clash = clash.withColumn(name, F.concat(F.lit(f"own {name} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    out = mixing.mixed(clash, (3, 1, 2), 1.5, 2.0)
+    assert out.columns == clash.columns and out.schema["size"].dataType.simpleString() == "string"
+    times = Counter()
+    for r in mixing.mix(df, (3, 1, 2), 1.5, 2.0).collect():
+        times[r.doc_id, r.text, r.source] += r.copies
+    got = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    assert got == Counter({k: n for k, n in times.items() if n})
+    assert all(r[c] == f"own {c} {'-' if r.doc_id is None else r.doc_id}" for r in out.collect() for c in ("size", "source_size", "target", "copies", "taken"))
+    assert mixing.mixed(clash.where("false"), (3, 1, 2), 1.5).count() == 0
+
+
 def test_mix_plans_stay_in_the_jvm(spark):
     plan = mixing.mix(documents(spark), (3, 1, 2), 1.5)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -101,6 +117,60 @@ def test_bin_completion_beats_best_fit():
     assert sum(t for t, _ in packing.complete(gaps, 61)) == 4
 
 
+def fewest(items, capacity):
+    """The least number of bins, by trying every place for every item."""
+    best = len(items)
+    bins = []
+
+    def put(k):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(items):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] >= items[k]:
+                bins[b] -= items[k]
+                put(k + 1)
+                bins[b] += items[k]
+        bins.append(capacity - items[k])
+        put(k + 1)
+        bins.pop()
+
+    put(0)
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 29), max_size=9), st.integers(0, 1))
+def test_bin_completion_finds_the_minimum(items, double):
+    """Against all placements, also when neither the quick search nor the lower bound settles it."""
+    items = sorted(items, reverse=True)
+    packing_of = lambda: sum(t for t, _ in packing._search(packing.best_fit(Counter(items), 30), Counter(items), 30, [1_000_000], True))
+    assert packing_of() == sum(t for t, _ in packing.complete(Counter(items), 30)) == fewest(items, 30)
+
+
+def test_all_fillings_are_all():
+    counts = {7: 1, 5: 2, 3: 3}
+    got = list(packing.all_fillings(10, [7, 5, 3], counts, 10, [1000]))
+    assert got == [(7, 3), (5, 5)]
+    assert list(packing.all_fillings(10, [7, 5, 3], counts, 10, [0])) == []
+
+
+@pytest.mark.parametrize("text", [" ", "\n", "a", "1", "!", "\u3000", "é ", " \n"])
+def test_encoder_of_a_million_characters(text):
+    e = packing.Encoder(TOKENIZER, 2)
+    whole = text * (1_000_000 // len(text))
+    assert e(whole) == np.array(e.tokenizer.encode(whole, add_special_tokens=False).ids + [2], "<u4").tobytes()
+
+
+def test_packing_a_long_run_of_white_space(spark):
+    rows = [(1, " " * 1_000_000), (2, "a\n" * 10 + "\n" * 500_000 + "b"), (3, "plain"), (4, None)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), TOKENIZER).collect()
+    check_packing(out, rows)
+
+
 def test_undominated():
     assert packing.fillings(10, [7, 5, 3], {7: 1, 5: 2, 3: 3}, 10)[:2] == [(7, 3), (5, 5)]
     assert packing._dominates((7, 3), (5, 3, 2)) and not packing._dominates((5, 5), (7,))

@@ -93,6 +93,16 @@ def mix(docs: DataFrame, weights, share: float, epochs: float = 2.0, seed: int =
     return without(found.withColumn("copies", copies).withColumn("taken", copies * F.col("size")), "_v_source", "_v_whole", "_v_bucket", "_v_cut")
 
 
-def mixed(docs: DataFrame, *args, **named) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix` repeats it, its columns unchanged."""
-    return mix(docs, *args, **named).withColumn("_v_again", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select([F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, weights, share: float, epochs: float = 2.0, seed: int = 42, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix` repeats it, its columns unchanged.
+
+    Columns named as those that :func:`mix` adds keep their values.  Null, empty and repeated
+    rows and empty tables: as there.
+    """
+    names = docs.columns
+    own = {c: f"_v_{k}" for k, c in enumerate(names)}
+    renamed = docs.toDF(*own.values())
+    at = {c.lower(): n for c, n in own.items()}
+    repeated = mix(renamed, weights, share, epochs, seed, at[text_col.lower()], at[id_col.lower()], at[source_col.lower()])
+    repeated = repeated.withColumn("_v_again", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return repeated.select([F.col(n).alias(c) for c, n in own.items()])
