@@ -20,7 +20,7 @@ def test_main_text():
     four <p>caf&eacute;&nbsp;x &#233;<script>var a = "</p>";</script></p><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>
     <form><input name="q"><p>Subscribe</p></form><section id="comments"><p>Reader</p></section><!-- no --></article><footer>&copy;</footer></body></html>"""
     assert html_extract.main_text(page, set()) == "Title & more\n\nOne two three, four\n\ncafé x é\n\na\n\nb\n\nc d"
-    assert html_extract.main_text("<article><div class='entry-header'><div><h1>T</h1></div><span>by</span></div><p>x</p></article>", set()) == "T\n\nx"
+    assert html_extract.main_text("<article><header><div><h1>T</h1></div><span>by</span></header><p>x</p></article>", set()) == "T\n\nx"
     for none in (None, "", "<nav>x</nav>", "<!-- a", "<script>x"):
         assert html_extract.main_text(none, set()) == ""
     assert html_extract.main_text("plain text", set()) == "plain text"
@@ -48,6 +48,57 @@ def test_templates_of_a_site_go(spark):
         html_extract.BROADCAST_SUBTREES = html_extract_bound
 
 
+def test_article_keeps_what_is_its_own():
+    def text(inner):
+        return html_extract.main_text(f"<body><nav>m</nav><article>{inner}</article></body>", ())
+
+    for kept in ("<p class='share'>own</p>", "<h2 id='search'>own</h2>", "<h2 class='section-header'>own</h2>", "<div class='related-work'>own</div>", "<section class='section-header'>own</section>",
+                 "<xmp>own</xmp>", "<object><p>own</p></object>", "<canvas>own</canvas>", "<video>own</video>", "<dialog>own</dialog>", "<svg><text>own</text></svg>"):
+        assert text(f"<p>a</p>{kept}<p>b</p>") == "a\n\nown\n\nb" or text(f"<p>a</p>{kept}<p>b</p>").split() == ["a", "own", "b"], kept
+    assert text("<p>let <math><mi>x</mi></math> be</p>") == "let x be"
+    assert text("<xmp>a <b> & c</xmp><p>d</p>") == "a <b> & c\n\nd"
+    for gone in ("<div class='comments'><p>x</p></div>", "<section id='comments'>x</section>", "<div class='ad'>x</div>", "<div class='notice'>x</div>", "<ul class='menu'><li>x</li></ul>", "<p hidden>x</p>", "<div role='alert'>x</div>", "<form>x</form>", "<aside>x</aside>", "<footer>x</footer>"):
+        assert text(f"<p>a</p>{gone}<p>b</p>") == "a\n\nb", gone
+    assert html_extract.main_text("<body><div class='has-sidebar'><article><p>a</p></article><article class='comment'>c</article></div></body>", ()) == "a"
+    assert html_extract.main_text("<body><div class='site-header'>h</div><h2 class='section-header'>t</h2><p>a</p><p class='copyright'>c</p></body>", ()) == "t\n\na"
+
+
+def test_hosts(spark):
+    rows = [("https://u:p@A.example:80/x", "a.example"), ("//b.example/x", "b.example"), ("c.example/x?y", "c.example"), ("c.example", "c.example"), ("/local", None), ("page", None), ("", None), (None, None), ("ftp://d.example#e", "d.example")]
+    got = spark.createDataFrame(rows, "url string, want string").select("want", html_extract.host_of(F.col("url")).alias("host")).collect()
+    assert [r.host for r in got] == [r.want for r in got]
+
+
+def test_templates_against_brute_force(spark, monkeypatch):
+    """Pages made of known blocks: those on five pages and three tenths of the pages of their host go, and no other."""
+    rng = random.Random(4)
+    pool = [f"Block {k} of score {k}-{k + 1}" for k in range(12)]
+    rows, blocks = [], {}
+    for k in range(120):
+        host = rng.choice(["a.example", "b.example", "c.example", None])
+        own = [x for n, x in enumerate(pool) if rng.random() < (0.1, 0.25, 0.6)[n % 3]] + [f"Own text {k}"] + ["Answer: yes"] * rng.choice([0, 0, 0, 6])
+        rng.shuffle(own)
+        for copy in range(rng.choice([1, 1, 3])):
+            blocks[len(rows)] = host, own
+            rows.append((len(rows), host and f"https://{host}/{k}/{copy}", "<body>" + "".join(f"<section><p>{x}</p></section>" for x in own) + "</body>"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages = {}
+    for host, own in blocks.values():
+        pages.setdefault(host, set()).add(tuple(own))
+    gone = {(h, x) for h, of in pages.items() if h for x in {x for p in of for x in p} if (n := sum(x in p for p in of)) >= 5 and n >= 0.3 * len(of)}
+    assert gone and len({h for h, _ in gone}) == 3
+    want = {k: "\n\n".join(x for x in own if (host, x) not in gone) for k, (host, own) in blocks.items()}
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+    monkeypatch.setattr(html_extract, "BROADCAST_SUBTREES", 0)
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+
+
+def test_very_long_page_and_white_space(spark):
+    rows = [(1, "https://a.example/1", "<article><p>" + "word " * 400_000 + "</p>" + " " * 1_000_000 + "<p>end</p></article>"), (2, None, " " * 1_000_000)]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1].text == ("word " * 400_000).strip() + "\n\nend" and got[2].text == "" and got[1].n_chars == len(got[1].text)
+
+
 def counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
