@@ -12,6 +12,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -25,7 +26,8 @@ from .common import small_batches, without
 # Words that name a secret, words that name something else, and common words of text, paths and code.
 SECRET_WORDS = "token secret password passwd pwd passphrase apikey api_key api-key access_key accesskey secret_key private_key auth authorization bearer credential credentials client_secret".split()
 OTHER_WORDS = "commit sha sha1 sha256 md5 checksum digest hash revision version uuid guid etag id ref branch build example sample test placeholder dummy serial isbn doi url href src path file image".split()
-PLACEHOLDERS = "example sample placeholder changeme dummy test your xxxx todo none null default insert redacted secret password token".split()
+PLACEHOLDERS = "example sample placeholder changeme dummy test your xxxx todo none null default insert redacted".split()
+ITSELF = "secret password token".split()
 COMMON = (
     "the and for that with this from are was not have which will can all one has been there more when who would what about into time them some could other than then now only over also "
     "user users home usr var lib bin etc opt tmp src main test tests docs data file files image images static assets index page config build dist node modules package packages python java "
@@ -33,35 +35,62 @@ COMMON = (
     "number error info debug warn level server client request response session cache model view controller service manager handler factory utils common core base"
 ).split()
 
-_KEYED = re.compile(r"(?i)(?<![A-Za-z0-9])[A-Za-z0-9_-]{0,40}(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)s?[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?([^\s\"'`,;]{6,})")
+_NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credential)(?:[_-]?(?:key|token|value|hash))?s?"
+_SET = r"[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}(?:(?:bearer|basic|token)\s{1,4})?"
+#: A value under a name of a secret: in quotes to the closing one, else to white space, quote, comma, semicolon or the next parameter of an address.
+_KEYED = re.compile(rf"(?i)(?<![A-Za-z0-9])[A-Za-z0-9_-]{{0,40}}{_NAME}{_SET}(?:\"([^\"\n]{{6,}})\"|'([^'\n]{{6,}})'|`([^`\n]{{6,}})`|[\"'`]?((?:(?!&[A-Za-z_][A-Za-z0-9_.-]*=)[^\s\"'`,;]){{6,}}))")
+_BEARER = re.compile(r"(?i)(?<![A-Za-z0-9])bearer\s{1,4}([A-Za-z0-9._~+/=-]{12,})")
+_URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"']{0,64}:([^\s/@\"']{3,})@")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.~-])(?=[A-Za-z0-9+/_=.~-]{12})[A-Za-z+/_=.~-]*+\d[A-Za-z0-9+/_=.~-]*+")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+_MARKED = re.compile(r"(?<![A-Za-z0-9+/_.~-])(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|glpat-|npm_|SG\.)[A-Za-z0-9+/_=.~-]{10,}")
+#: A private key to its end line; without one, its headers and long lines of key text.
+_BLOCK = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:\s+(?:Proc-Type:[^\n]*|DEK-Info:[^\n]*|[A-Za-z0-9+/=]{16,}))*)"
+)
 _PREFIXED = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|glpat-|npm_|SG\.)")
 _WORDS = re.compile(r"[A-Za-z_][A-Za-z_-]*")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 _VERSION = re.compile(r"^[vV]?\d+(?:\.\d+)+(?:[-+.][A-Za-z0-9.-]*)?$")
+_PLAIN = re.compile(r"[A-Za-z]?[a-z]+(?:[ ._-][A-Za-z]?[a-z]+)*|[A-Z]+(?:[ ._-][A-Z]+)*")
 _EXTENSION = re.compile(r"\.[A-Za-z]{2,5}\d?$")
 
 #: Code points before and after a candidate in which neighbouring words are looked for.
 NEIGHBOURHOOD = 40
 FEATURES = (
     "length digits upper lower symbols entropy changes transitions dictionary longest_word hex_only hex_size base64 uuid version "
-    "slashes dots extension path placeholder repeats runs prefixed keyed near_secret near_other quoted assigned"
+    "slashes dots extension path placeholder repeats runs prefixed keyed near_secret near_other quoted assigned reference words_only"
 ).split()
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of candidates in order, none within another."""
-    found = [(m.start(), m.end(), "private_key") for m in _BLOCK.finditer(text)]
-    found += [(m.start(1), m.end(1), "keyed") for m in _KEYED.finditer(text)]
+    """Start, end and kind of candidates in order, none within another.
+
+    Where they overlap, key blocks come before passwords of addresses, these before values under
+    names of secrets, these before known prefixes, these before other tokens, and of one kind the first.  Every candidate is whole,
+    however long.
+    """
+    found = [(0, m.start(), m.end(), "private_key") for m in _BLOCK.finditer(text)]
+    found += [(1, m.start(1), m.end(1), "url") for m in _URL.finditer(text)]
+    for m in _KEYED.finditer(text):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 4:  # bare: what closes the sentence or bracket around it is not its own
+            value = text[a:b]
+            b = a + max(6, len(value.rstrip("." if any(c in value for c in "([{<") else ")]}>.")))
+        found.append((2, a, b, "keyed"))
+    found += [(2, m.start(1), m.start(1) + len(m[1].rstrip(".")), "keyed") for m in _BEARER.finditer(text)]
+    found += [(3, m.start(), m.start() + len(m[0].rstrip(".-~/")), "token") for m in _MARKED.finditer(text)]
     for m in _TOKEN.finditer(text):
         end = m.start() + len(m[0].rstrip(".=-~/")) if not m[0].endswith("=") else m.end()
         if end - m.start() >= 12 and any(c.isalpha() for c in m[0]):
-            found.append((m.start(), end, "token"))
+            found.append((4, m.start(), end, "token"))
+    starts: list[int] = []
     out: list[tuple[int, int, str]] = []
-    for f in sorted(found, key=lambda x: (x[0], -x[1])):
-        if not out or f[0] >= out[-1][1]:
-            out.append(f)
+    for _, a, b, kind in sorted(found):
+        k = bisect_left(starts, a)
+        if (k == 0 or out[k - 1][1] <= a) and (k == len(out) or out[k][0] >= b):
+            starts.insert(k, a)
+            out.insert(k, (a, b, kind))
     return out
 
 
@@ -105,16 +134,16 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         -sum(k / n * math.log2(k / n) for k in count.values()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         _ordinary(value), sum(covered) / n, longest, hexed, n if hexed else 0, bool(re.fullmatch(r"[A-Za-z0-9+/_-]{16,}={0,2}", value)), bool(_UUID.match(value)),
         bool(_VERSION.match(value)), value.count("/"), value.count("."), bool(_EXTENSION.search(value)), before[-1:] in ("/", "\\", "@") or value[:1] in "/.~",
-        any(p in low for p in PLACEHOLDERS), max(count.values()) / n, sum(ord(b) - ord(a) == 1 for a, b in zip(value, value[1:], strict=False)) / n,
+        2 * any(p in low for p in PLACEHOLDERS) or any(p in low for p in ITSELF), max(count.values()) / n, sum(ord(b) - ord(a) == 1 for a, b in zip(value, value[1:], strict=False)) / n,
         bool(_PREFIXED.match(value)), kind != "token", any(s in w for w in words for s in SECRET_WORDS), any(w in OTHER_WORDS for w in words),
-        before[-1:] in ("\"", "'", "`"), bool(re.search(r"[:=>]\s*[\"'`]?$", before)),
+        before[-1:] in ("\"", "'", "`"), bool(re.search(r"[:=>]\s*[\"'`]?$", before)), value[:1] in "$<{%(" or "(" in value or "[" in value, bool(_PLAIN.fullmatch(value)),
     ]
 
 
 class Forest:
     """A random forest of Gini trees: bootstrapped rows, a random part of the features at each split."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 10, seed: int = 42):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 12, seed: int = 42):
         rng = np.random.default_rng(seed)
         self.trees = [self._grow(x[at], y[at], depth, rng) for at in (rng.integers(0, len(y), len(y)) for _ in range(trees))] if len(y) else []
 
@@ -161,52 +190,87 @@ class Forest:
         return out / max(1, len(self.trees))
 
 
-def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, int, int, int]]:
+def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, int, int, int]]:
     """Made-up findings to learn from: text, start, end, and 1 for a secret. Half are secrets.
 
-    Secrets are random keys under names of secrets or with known prefixes; the others are
-    checksums, versions, paths, identifiers, placeholders and words, in their usual company.
+    Secrets are random keys and human passwords under names of secrets, in addresses and
+    headers, or with known prefixes, and key blocks; the others are checksums, versions, paths,
+    identifiers, placeholders, references to variables and words, in their usual company.
     """
     rng = random.Random(seed)
     letters, hexes, b64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     word = lambda: rng.choice(COMMON)
-    some = lambda k: " ".join(word() for _ in range(k))
+    syllables = lambda k: "".join(pick("bcdfghklmnprstvw", 1) + pick("aeiou", 1) for _ in range(k))
+    some = lambda k: " ".join(word() if rng.random() < 0.6 else syllables(rng.randint(1, 4)) for _ in range(k))
+    human = lambda: rng.choice([word, lambda: syllables(rng.randint(2, 4))])() + rng.choice(["", "_", "-", "!", "."]) + str(rng.randint(1, 9999)) + rng.choice(["", "!", "#", "$", word(), word().title(), rng.choice(["secret", "pass", "token"])])
+    keys = [
+        lambda: pick(hexes, rng.choice([32, 40, 48, 64])), lambda: pick(letters, rng.randint(16, 48)), lambda: pick(b64, rng.choice([40, 44, 64])) + rng.choice(["", "="]), lambda: pick(hexes, 40).upper(),
+        lambda: pick(letters + "!@#%^&*", rng.randint(10, 20)), lambda: pick(string.ascii_letters, rng.randint(20, 40)), lambda: human().title(), human, human,
+        lambda: rng.choice("-_.").join([word(), syllables(2), pick(letters + "@#!$", rng.randint(10, 24))]), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(letters, 36), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(letters, 24),
+        lambda: "eyJ" + pick(letters, 30) + ".eyJ" + pick(letters, 40) + "." + pick(letters + "_-", 43),
+    ]
+    hashes = "commit sha sha256 md5 checksum digest revision etag build".split()
+    others = [
+        lambda: (pick(hexes, rng.choice([32, 40, 64])), rng.choice(hashes)),
+        lambda: (pick(hexes, rng.choice([7, 12, 40])), ""),
+        lambda: ("-".join(pick(hexes, m) for m in (8, 4, 4, 4, 12)), rng.choice(["id", "uuid", "guid", "ref", ""])),
+        lambda: (rng.choice(["v", ""]) + ".".join(str(rng.randint(0, 30)) for _ in range(3)) + rng.choice(["", "-beta.1", "+build5", "-rc12.final"]), rng.choice(["version", ""])),
+        lambda: ("/".join(word() for _ in range(rng.randint(2, 6))) + f"{rng.randint(0, 99)}." + rng.choice(["py", "js", "png", "html", "txt"]), rng.choice(["path", "file", "src", ""])),
+        lambda: (f"{word()}{rng.randint(1, 20)}.{word()}.{rng.choice(['com', 'org', 'net'])}", rng.choice(["url", "href", ""])),
+        lambda: (f"{word()}-{word()}-{rng.randint(1, 9999)}-{word()}", rng.choice(["id", "branch", ""])),
+        lambda: (word().title() + word().title() + str(rng.randint(1, 99)) + word().title(), ""),
+        lambda: (rng.choice(["your-token-here1", "xxxxxxxxxxxx1234", "EXAMPLEKEY123456", "changeme123456", "<insert-secret-1>", "dummy-password-1", "REDACTED00000000", "1234567890abcdef", "aaaaaaaaaaaaaaa1", "abcdefghijkl1234", "YOUR_API_KEY", "your_password", "********", "<password>", "null or none"]), rng.choice(SECRET_WORDS)),
+        lambda: (rng.choice(["", "my-", "your_"]) + rng.choice(PLACEHOLDERS) + rng.choice(["", "-", "_"]) + str(rng.randint(0, 9999)) + rng.choice(["", word()]), rng.choice(SECRET_WORDS)),
+        lambda: (rng.choice(["${%s_%s}", "$%s_%s", "{{ %s.%s }}", "<%s-%s>", "%%%s_%s%%", "$(%s_%s)"]) % (word().upper(), rng.choice(SECRET_WORDS).upper()), rng.choice(SECRET_WORDS)),
+        lambda: (f"20{rng.randint(10, 29)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}", rng.choice(["", "build"])),
+        lambda: (rng.choice(["{}_{}({})", "os.environ['{}_{}_{}']", "${{{}_{}_{}}}", "{}.{}_{}()", "%({}_{}_{})s", "process.env.{}.{}.{}"]).format(word(), word(), word()), rng.choice(SECRET_WORDS)),
+        lambda: (rng.choice([word() + rng.choice(["s", "ed", "ing", "able", "ment"]), syllables(rng.randint(3, 5)), f"{word()} {word()} {word()}", f"{word()}.{word()}"]), rng.choice(SECRET_WORDS)),
+        lambda: (syllables(rng.randint(6, 8)) if rng.random() < 0.5 else rng.choice(OTHER_WORDS) + rng.choice(COMMON) + word() + "ation", "bearer"),
+    ]
     out = []
     for k in range(n):
-        q = rng.choice(["\"", "'", "", "\""])
+        q, tail = rng.choice(["\"", "'", "", "\""]), some(rng.randint(0, 4))
         if k % 2:
-            value = rng.choice([lambda: pick(hexes, rng.choice([32, 40, 48, 64])), lambda: pick(letters, rng.randint(16, 48)), lambda: pick(b64, rng.choice([40, 44, 64])) + rng.choice(["", "="]), lambda: pick(hexes, 40).upper(), lambda: pick(letters + "!@#%^&*", rng.randint(10, 20)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(letters, 36), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(letters, 24), lambda: "eyJ" + pick(letters, 30) + ".eyJ" + pick(letters, 40) + "." + pick(letters + "_-", 43)])()
+            value = rng.choice(keys)()
             name = rng.choice(SECRET_WORDS)
             name = rng.choice([name, name.upper(), f"{word()}_{name}", name.title()])
-            head = f"{some(rng.randint(0, 4))} {name}{rng.choice([' = ', '=', ': ', ' := ', ' '])}{q}"
-            if _PREFIXED.match(value) and rng.random() < 0.4:
+            close = q
+            form = rng.random()
+            if form < 0.08:
+                kind = rng.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "])
+                rows = [pick(b64, 64) for _ in range(rng.randint(2, 25))] + [pick(b64, rng.randint(2, 60))]
+                head, value, close = some(rng.randint(0, 4)) + " ", f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(rows) + f"\n-----END {kind}PRIVATE KEY-----", ""
+            elif form < 0.16:
+                value, close = value.replace("@", "a"), "@"
+                head = f"{some(rng.randint(0, 3))} {rng.choice(['https', 'postgres', 'redis', 'ftp', 'mysql'])}://{word()}:"
+                tail = f"{word()}.{rng.choice(['com', 'org'])}/{word()} {tail}"
+            elif form < 0.26:
+                value, close = pick(rng.choice([letters, string.ascii_letters, letters + "._-"]), rng.randint(20, 60)) + "x", q
+                head = f"{some(rng.randint(0, 3))} {rng.choice(['Authorization: Bearer ', 'bearer ', 'Bearer '])}"
+                close = ""
+            elif _PREFIXED.match(value) and form < 0.6:
                 head = some(rng.randint(1, 4)) + " " + q
+            else:
+                head = f"{some(rng.randint(0, 4))} {name}{rng.choice([' = ', '=', ': ', ' := ', '='])}{q}"
         else:
-            value, name = rng.choice([
-                lambda: (pick(hexes, rng.choice([32, 40, 64])), rng.choice(["commit", "sha", "sha256", "md5", "checksum", "digest", "revision", "etag", "build"])),
-                lambda: (pick(hexes, rng.choice([7, 12, 40])), ""),
-                lambda: ("-".join(pick(hexes, m) for m in (8, 4, 4, 4, 12)), rng.choice(["id", "uuid", "guid", "ref", ""])),
-                lambda: (rng.choice(["v", ""]) + ".".join(str(rng.randint(0, 30)) for _ in range(3)) + rng.choice(["", "-beta.1", "+build5", "-rc12.final"]), rng.choice(["version", ""])),
-                lambda: ("/".join(word() for _ in range(rng.randint(2, 6))) + f"{rng.randint(0, 99)}." + rng.choice(["py", "js", "png", "html", "txt"]), rng.choice(["path", "file", "src", ""])),
-                lambda: (f"{word()}{rng.randint(1, 20)}.{word()}.{rng.choice(['com', 'org', 'net'])}", rng.choice(["url", "href", ""])),
-                lambda: (f"{word()}-{word()}-{rng.randint(1, 9999)}-{word()}", rng.choice(["id", "branch", ""])),
-                lambda: (word().title() + word().title() + str(rng.randint(1, 99)) + word().title(), ""),
-                lambda: (rng.choice(["your-token-here1", "xxxxxxxxxxxx1234", "EXAMPLEKEY123456", "changeme123456", "<insert-secret-1>", "dummy-password-1", "REDACTED00000000", "1234567890abcdef", "aaaaaaaaaaaaaaa1", "abcdefghijkl1234"]), rng.choice(SECRET_WORDS)),
-                lambda: (f"20{rng.randint(10, 29)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}", rng.choice(["", "build"])),
-                lambda: (f"{word()}_{word()}({word()})", rng.choice(SECRET_WORDS)),
-            ])()
+            value, name = rng.choice(others)()
             value = value if len(value) >= 6 else value + "-" + word()
-            head = f"{some(rng.randint(1, 4))} {name}{rng.choice([' ', ': ', ' = ', '=']) if name else ''}{q if name else ''}"
-        text = f"{head}{value}{q} {some(rng.randint(0, 4))}"
-        out.append((text, len(head), len(head) + len(value), k % 2))
+            close = q
+            head = f"{some(rng.randint(1, 4))} {name}{rng.choice([' ', ': ', ' = ', '=']) if name and name != 'bearer' else ' '}{q if name else ''}"
+        out.append((f"{head}{value}{close} {tail}", len(head), len(head) + len(value), k % 2))
     return out
 
 
+def kind_at(text: str, start: int) -> str:
+    """The kind of the candidate that starts there; a token where there is none."""
+    return next((kind for a, _, kind in candidates(text) if a == start), "token")
+
+
 def train(findings: list[tuple[str, int, int, int]] | None = None, **named) -> Forest:
     """A forest from labelled findings (text, start, end, label); the made-up ones by default."""
     findings = labelled_findings() if findings is None else findings
-    rows = [features(t, a, b, "keyed" if any(m.start(1) == a for m in _KEYED.finditer(t)) else "token") for t, a, b, _ in findings]
+    rows = [features(t, a, b, kind_at(t, a)) for t, a, b, _ in findings]
     return Forest(np.array(rows, float).reshape(-1, len(FEATURES)), np.array([y for *_, y in findings], float), **named)
 
 
@@ -243,7 +307,11 @@ def findings(docs: DataFrame, forest: Forest, text_col: str = "text", into: str
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = 0.5, mark: str = "[secret]") -> DataFrame:
-    """``docs``, its columns unchanged, with ``mark`` in place of each finding at or above the threshold."""
+    """``docs``, its columns unchanged, with ``mark`` in place of each finding at or above the threshold.
+
+    Null, empty and clean texts stay as they are; a finding goes whole, however long; repeated
+    rows change alike; an empty table gives no rows; other columns, whatever their names, stay.
+    """
     found = findings(docs.withColumn("_v_text", F.col(f"`{text_col}`")), forest, "_v_text", "_v_findings")
     secret = F.filter("_v_findings", lambda f: f["probability"] >= threshold)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
