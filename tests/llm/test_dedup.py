@@ -175,7 +175,7 @@ def test_edit_distance_and_segments(a, b, threshold):
         assert abs((x - y + 128) % 256 - 128).sum() <= 2 * threshold
         every = []  # all keys of either line, as if every list were too long
         for level in (0, 1):
-            line, key, posts = line_dedup.postings([a, b], threshold, level, every)
+            line, key, posts = line_dedup._band([a, b], threshold, level, every)
             assert any({*key[(line == k) & posts]} & {*key[line != k]} for k in (0, 1))
             every.append(np.unique(key))
 
@@ -192,17 +192,53 @@ def lines_fixture():
         return "".join(b)
 
     docs = [(i, "\n".join(changed(rng.choice(base), rng.randint(0, 3)) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    docs += [(900 + i, "same text of one id") for i in (0, 0)]
     docs += [(100 + i, f"the same beginning of every line here and then {rng.randrange(10**5)} end") for i in range(50)]
     return [*docs, (400, None), (401, ""), (402, "short\nshort\n\n  short "), (3, docs[3][1]), (None, docs[4][1])]
 
 
+def near_lines(docs, name):
+    """Names of all pairs of near lines: one edit from ten code points of the shorter line on, two from twenty on."""
+    lines = sorted({" ".join(x.split()) for _, t in docs for x in (t or "").split("\n") if x.split()})
+    out = set()
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            most = min(2, min(len(a), len(b)) // 10)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                out.add(tuple(sorted((name(a), name(b)))))
+    return out
+
+
+def test_lines_of_all_lengths_against_brute_force(spark):
+    rng = random.Random(16)
+    docs = []
+    for k in range(150):
+        base = "".join(rng.choice("ab cd") for _ in range(rng.choice([1, 2, 5, 8, 9, 10, 11, 12, 18, 19, 20, 21, 22, 30])))
+        p = rng.randrange(len(base))
+        docs.append((k, f"{base}\n{base[:p]}{rng.choice(['', 'x', 'yz'])}{base[p + rng.randrange(2):]}\n{base}a"))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    near = near_lines(docs, line_dedup.namer({}))
+    assert len(near) > 50 and {tuple(r) for r in line_dedup.edit_links(df.select("text")).collect()} == near
+
+
+def test_lines_whose_names_clash(spark):
+    """With only eight names to share, lines stay apart by the rest of their digests."""
+    df = spark.createDataFrame(lines_fixture(), "doc_id bigint, text string")
+    want = {(r.doc_id, r.row, r.at): (r.n_links, r.kept) for r in line_dedup.line_duplicates(df).collect()}
+    rows = line_dedup.line_duplicates(df, name_bits=3).collect()
+    assert {(r.doc_id, r.row, r.at): (r.n_links, r.kept) for r in rows} == want
+    assert sum(-4 <= r.line < 4 for r in rows) and len({r.line for r in rows}) > 100
+    assert sum(r.kept for r in rows) == len({r.class_id for r in rows})
+
+
 def test_line_duplicates_against_brute_force(spark, monkeypatch):
     docs = lines_fixture()
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("kept", F.lit("clash"))
-    lines = sorted({x for _, t in docs for _, x in line_dedup.normal_lines(t) if len(x) >= 20})
-    near = {tuple(sorted((line_dedup.line_hash(a), line_dedup.line_hash(b)))) for i, a in enumerate(lines) for b in lines[:i] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
-    for most in (4096, 20, 2):
+    near = near_lines(docs, line_dedup.namer({}))
+    for most, levels, block in ((4096, 4, 100), (20, 4, 100), (2, 4, 100), (2, 1, 3), (2, 0, 5)):
         monkeypatch.setattr(line_dedup, "PAIRED", most)
+        monkeypatch.setattr(line_dedup, "LEVELS", levels)
+        monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
         assert {tuple(r) for r in line_dedup.edit_links(df.select("text")).collect()} == near
     rows = line_dedup.line_duplicates(df).collect()
     assert len(rows) == sum(len(line_dedup.normal_lines(t)) for _, t in docs)
@@ -215,6 +251,7 @@ def test_line_duplicates_against_brute_force(spark, monkeypatch):
     assert out.columns == df.columns
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[400] is None and texts[401] == "" and texts[402] == "short\n"
+    assert [r.text for r in out.where("doc_id = 900").collect()] == ["same text of one id"] * 2
     assert line_dedup.line_duplicates(df.where("false")).count() == 0
     summary = {r.doc_id: r for r in line_dedup.documents_summary(line_dedup.line_duplicates(df.where("doc_id = 402")), df.where("doc_id = 402")).collect()}
     assert (summary[402].n_lines, summary[402].n_removed, summary[402].n_chars_kept) == (3, 2, 5)

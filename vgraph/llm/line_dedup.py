@@ -1,32 +1,36 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-A line of length l is cut into threshold-plus-one segments; a line within the threshold
-keeps one of them whole, near its place.  Segments are posted under (length, segment number,
-content); every line probes the postings of each length it may match with the substrings
-that the multi-match rule leaves.  Pairs that meet are verified by a banded bit-parallel
-edit distance.  Texts of lines never move: postings carry hashes, and only lines of
-candidate pairs are read again for their texts.
+How many edits make two lines near grows with the shorter of them, up to a threshold.  A line
+of length l is cut into threshold-plus-one segments; a line within the threshold keeps one of
+them whole, near its place.  Segments are posted under (length, segment number, content); every
+line probes the postings of each length it may match with the substrings that the multi-match
+rule leaves.  Pairs that meet are verified by a banded bit-parallel edit distance.  Texts of
+lines never move: postings carry hashes, and only lines of candidate pairs are read again for
+their texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels.components import contract
-from .common import fits, materialize, small_batches, without
+from .common import fits, materialize, small_batches
 
-#: Lines are near when at most so many code points are inserted, deleted or changed between them, and both are at least so long.
-THRESHOLD, MIN_LENGTH = 2, 20
+#: Lines are near when at most so many code points are inserted, deleted or changed between them, and at most one for so many
+#: code points of the shorter one: none under 10, one under 20, two from 20 on.
+THRESHOLD, FOR_EACH = 2, 10
 #: A posting list of more pairs is not paired: its lines are posted again by the segments of what the shared segment leaves.
 PAIRED = 1 << 22
-#: How often lists are divided so; lists of the last level are paired whatever their size.
-LEVELS = 4
-#: Candidate lines or keys up to this number (16 MB) are broadcast; beyond it a shuffle join finds them.
+#: How often lists are divided so; what is left then is alike but for a few code points, and is paired by blocks of so many lines.
+LEVELS, BLOCK_LINES = 6, 1 << 14
+#: Candidate lines or keys up to this number (16 MB of sorted longs) are broadcast; beyond it a shuffle join finds them.
 BROADCAST_HASHES = 2_000_000
 
 
@@ -35,8 +39,30 @@ def normal_lines(text: str | None) -> list[tuple[int, str]]:
     return [(k, " ".join(own)) for k, line in enumerate((text or "").split("\n")) if (own := line.split())]
 
 
-def line_hash(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode()) - (1 << 63)
+def digest(line: str) -> int:
+    """128 bits that stand for a line."""
+    return xxhash.xxh3_128_intdigest(line.encode())
+
+
+def _halves(h: int, bits: int = 64) -> tuple[int, int]:
+    """A name of so many bits from the front of a digest, and the last 64 bits to check it by."""
+    return (h >> 128 - bits) - (1 << bits - 1), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def namer(clashes: dict[tuple[int, int], int], bits: int = 64) -> Callable[[str], int]:
+    """Names of lines: the front of their digests, but for those that ``clashes`` names by front and check."""
+    shared = {h for h, _ in clashes}
+
+    def name(line: str) -> int:
+        h, check = _halves(digest(line), bits)
+        return clashes.get((h, check), h) if h in shared else h
+
+    return name if clashes else lambda line: (digest(line) >> 128 - bits) - (1 << bits - 1)
+
+
+def allowed(n: int, threshold: int = THRESHOLD) -> int:
+    """Edits that make lines near of which the shorter has ``n`` code points."""
+    return min(threshold, n // FOR_EACH)
 
 
 def segments(n: int, threshold: int) -> list[tuple[int, int]]:
@@ -102,6 +128,19 @@ def keys_of(lines: list[str], threshold: int, above: np.ndarray | None = None) -
 
 
 def postings(lines: list[str], threshold: int, level: int, hot: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, whether it posts) at a level, of lines that need so many edits to be near in turn, each band with keys of its own."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    out = []
+    for edits in range(1, threshold + 1):
+        # the shorter line of a pair allows just so many edits; the longer one may have as many code points more
+        most = FOR_EACH * (edits + 1) - 1 + edits if edits < threshold else np.inf
+        own = np.flatnonzero((n >= FOR_EACH * edits) & (n <= most))
+        line, key, posts = _band([lines[k] for k in own.tolist()], edits, level, hot)
+        out.append((own[line], key, posts))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _band(lines: list[str], threshold: int, level: int, hot: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, whether it posts) at a level; below level 0 only within keys whose lists were too long at each level above.
 
     ``hot``: sorted keys of each level above.  Two lines that share the segment that a key
@@ -109,7 +148,7 @@ def postings(lines: list[str], threshold: int, level: int, hot: list) -> tuple[n
     and posted in turn.  A line that probed the segment meets those that posted it, not others
     that probed it.
     """
-    which, above, role, rest = np.arange(len(lines)), None, np.ones(len(lines), bool), lines
+    which, above, role, rest = np.arange(len(lines)), np.full(len(lines), threshold, np.uint64), np.ones(len(lines), bool), lines
     for depth in range(level + 1):
         line, key, posts, start, end = keys_of(rest, threshold, above)
         posts = posts & role[line]
@@ -189,11 +228,12 @@ def _signed(keys: np.ndarray) -> np.ndarray:
     return (keys ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _post(texts: DataFrame, threshold: int, level: int, hot: list[np.ndarray]) -> DataFrame:
-    """key, line, probe, sketch: the postings and probes of all long lines, each line once a batch."""
+def _post(texts: DataFrame, threshold: int, level: int, hot: list[np.ndarray], name_of: Callable[[], Callable]) -> DataFrame:
+    """key, line, probe, sketch: the postings and probes of all lines that can be near others, each line once a batch."""
     held = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
+        name = name_of()
         for batch in batches:
             lines: dict[int, str] = {}
             size = 0
@@ -205,7 +245,7 @@ def _post(texts: DataFrame, threshold: int, level: int, hot: list[np.ndarray]) -
 
             for text in batch.column(0):
                 for _, line in normal_lines(text.as_py()):
-                    if len(line) >= MIN_LENGTH and (h := line_hash(line)) not in lines:
+                    if len(line) >= FOR_EACH and (h := name(line)) not in lines:
                         lines[h] = line
                         size += len(line)
                 if size > 1 << 19:
@@ -217,8 +257,8 @@ def _post(texts: DataFrame, threshold: int, level: int, hot: list[np.ndarray]) -
     return texts.mapInArrow(run, "key bigint, line bigint, probe boolean, sketch bigint")
 
 
-def _meet(posted: DataFrame, threshold: int, last: bool) -> DataFrame:
-    """a, b: pairs that meet under a key and whose sketches allow it; for lists too long to pair, a = the key and b = each of its lines, and ``long`` is true."""
+def _meet(posted: DataFrame, threshold: int, most: int | None) -> DataFrame:
+    """a, b: pairs that meet under a key and whose sketches allow it; for lists of more than ``most`` pairs, a = the key and b = each of its lines, and ``long`` is true."""
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def batch_of(a, b, long):
@@ -233,12 +273,12 @@ def _meet(posted: DataFrame, threshold: int, last: bool) -> DataFrame:
             ends = np.r_[heads[1:], len(key)]
             # postings come before probes; a list needs one, and lines that differ
             some = ~probe[heads] & (np.minimum.reduceat(line, heads) != np.maximum.reduceat(line, heads))
-            found = []
+            found, n = [], 0
             for s, e in zip(heads[some].tolist(), ends[some].tolist(), strict=True):
                 cut = s + int(np.searchsorted(probe[s:e], True))
                 left, first = np.unique(line[s:cut], return_index=True)
                 right, other = np.unique(line[s:e], return_index=True)
-                if not last and len(left) * len(right) > PAIRED:
+                if most is not None and len(left) * len(right) > most:
                     yield batch_of(np.full(len(right), key[s]), right, True)
                     continue
                 x, y = (kinds[s:e][k].view(np.int8).reshape(-1, _KINDS) for k in (first, other))
@@ -246,6 +286,11 @@ def _meet(posted: DataFrame, threshold: int, last: bool) -> DataFrame:
                     near = right[(np.abs((x[k] - y).astype(np.int16)).sum(axis=1) <= 2 * threshold) & (right != left[k])]
                     if len(near):
                         found.append(np.stack([np.minimum(near, left[k]), np.maximum(near, left[k])], axis=1))
+                        n += len(near)
+                    if n > 1 << 20:
+                        both = np.unique(np.concatenate(found), axis=0)
+                        yield batch_of(both[:, 0], both[:, 1], False)
+                        found, n = [], 0
             if found:
                 both = np.unique(np.concatenate(found), axis=0)
                 yield batch_of(both[:, 0], both[:, 1], False)
@@ -266,7 +311,7 @@ def _meet(posted: DataFrame, threshold: int, last: bool) -> DataFrame:
                 held, size = [], 0
             held.append(tuple(x[at:] for x in own))
             size += len(own[0]) - at
-            if size > PAIRED and not last:
+            if most is not None and size > most:
                 skip = own[0][-1]
                 for h in held:
                     yield batch_of(h[0], h[1], True)
@@ -277,26 +322,41 @@ def _meet(posted: DataFrame, threshold: int, last: bool) -> DataFrame:
     return posted.repartition(parts, "key").sortWithinPartitions("key", "probe").mapInArrow(run, "a bigint, b bigint, long boolean")
 
 
-def _within(texts: DataFrame, hashes: DataFrame) -> DataFrame:
-    """line, content of the lines of ``texts`` whose hashes are in ``hashes`` (column line)."""
+def _blocks(posted: DataFrame, keys: DataFrame, threshold: int) -> DataFrame:
+    """a, b: pairs that meet under ``keys``, each list cut into blocks, so that a task holds two blocks and not a list."""
+    sized = posted.join(keys, posted["key"] == keys["a"], "left_semi")
+    sized = sized.join(sized.groupBy(F.col("key").alias("_k")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).cast("int").alias("blocks")), F.col("key") == F.col("_k"))
+    own, other = F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = sized.where("not probe").select("key", own.alias("i"), other.alias("j"), "line", F.lit(False).alias("probe"), "sketch")
+    right = sized.select("key", other.alias("i"), own.alias("j"), "line", F.lit(True).alias("probe"), "sketch")
+    return _meet(left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("key"), "line", "probe", "sketch"), threshold, None).select("a", "b")
+
+
+def _longs(df: DataFrame) -> np.ndarray:
+    """The sorted values of a DataFrame of one long column."""
+    return np.sort(df.toArrow().column(0).to_numpy().astype(np.int64))
+
+
+def _within(texts: DataFrame, hashes: DataFrame, name_of: Callable[[], Callable]) -> DataFrame:
+    """line, content of the lines of ``texts`` whose names are in ``hashes`` (column line)."""
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("content", T.StringType())])))
     def cut(column: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("line", pa.int64()), ("content", pa.string())]))
-        own = ({line_hash(x): x for _, x in normal_lines(t.as_py()) if len(x) >= MIN_LENGTH} for t in column)
+        kind, name = pa.list_(pa.struct([("line", pa.int64()), ("content", pa.string())])), name_of()
+        own = ({name(x): x for _, x in normal_lines(t.as_py()) if len(x) >= FOR_EACH} for t in column)
         return pa.array([[{"line": h, "content": x} for h, x in o.items()] for o in own], kind)
 
     if fits(hashes, BROADCAST_HASHES):
-        wanted = texts.sparkSession.sparkContext.broadcast(frozenset(r.line for r in hashes.collect()))
+        wanted = texts.sparkSession.sparkContext.broadcast(_longs(hashes.select("line")))
 
         def pick(batches):
+            name, sought = name_of(), wanted.value
             for batch in batches:
-                found = {}
-                for text in batch.column(0):
-                    for _, x in normal_lines(text.as_py()):
-                        if len(x) >= MIN_LENGTH and (h := line_hash(x)) in wanted.value:
-                            found[h] = x
-                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["line", "content"])
+                lines = {name(x): x for text in batch.column(0) for _, x in normal_lines(text.as_py()) if len(x) >= FOR_EACH}
+                names = np.fromiter(lines, np.int64, len(lines))
+                at = np.searchsorted(sought, names)
+                found = names[sought[np.minimum(at, len(sought) - 1)] == names].tolist() if len(sought) else []
+                yield pa.record_batch([pa.array(found, pa.int64()), pa.array([lines[h] for h in found], pa.string())], ["line", "content"])
 
         lines = texts.mapInArrow(pick, "line bigint, content string")
     else:
@@ -304,66 +364,95 @@ def _within(texts: DataFrame, hashes: DataFrame) -> DataFrame:
     return lines.groupBy("line").agg(F.first("content").alias("content"))
 
 
-def _candidates(texts: DataFrame, threshold: int, level: int, hot: list[np.ndarray]) -> DataFrame:
+def _candidates(texts: DataFrame, threshold: int, level: int, hot: list[np.ndarray], name_of: Callable[[], Callable]) -> DataFrame:
     """a, b of pairs that meet at a level or, for lists too long there, below it."""
-    met = materialize(_meet(_post(texts, threshold, level, hot), threshold, level == LEVELS), "met")
+    posted = _post(texts, threshold, level, hot, name_of)
+    met = materialize(_meet(posted, threshold, PAIRED), "met")
     found = met.where("not long").select("a", "b")
     long = met.where("long")
-    keys = long.select("a").distinct()
+    keys = materialize(long.select("a").distinct(), "keys")
     n = keys.count()
     if not n:
         return found
+    if level == LEVELS:
+        return found.unionByName(_blocks(posted, keys, threshold))
     # below, only the lines of such lists are read, and keys go by in slices that a task can hold
-    lines = materialize(_within(texts, materialize(long.select(F.col("b").alias("line")).distinct(), "long")).select("content"), "long-lines")
+    lines = materialize(_within(texts, materialize(long.select(F.col("b").alias("line")).distinct(), "long"), name_of).select("content"), "long-lines")
     slices = -(-n // BROADCAST_HASHES)
     for k in range(slices):
-        own = [r.a for r in keys.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == k).collect()]
-        found = found.unionByName(_candidates(lines, threshold, level + 1, [*hot, np.sort(np.array(own, np.int64).view(np.uint64) ^ np.uint64(1 << 63))]))
+        own = np.sort(_longs(keys.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == k)).view(np.uint64) ^ np.uint64(1 << 63))
+        found = found.unionByName(_candidates(lines, threshold, level + 1, [*hot, own], name_of))
     return found
 
 
-def edit_links(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """a < b: hashes of all pairs of different lines within ``threshold`` edits, over a one-column DataFrame of texts."""
-    found = _candidates(texts, threshold, 0, [])
+def edit_links(texts: DataFrame, threshold: int = THRESHOLD, name_of: Callable[[], Callable] = lambda: namer({})) -> DataFrame:
+    """a < b: names of all pairs of different near lines, over a one-column DataFrame of texts.
+
+    Null and empty texts have no lines, repeated ones add none; an empty table gives no rows.
+    ``name_of`` makes the function that names lines.
+    """
+    found = _candidates(texts, threshold, 0, [], name_of)
     found = materialize(found.distinct(), "candidates")
     ends = found.select(F.col("a").alias("line")).union(found.select("b")).distinct()
-    contents = materialize(_within(texts, materialize(ends, "ends")), "contents")
+    contents = materialize(_within(texts, materialize(ends, "ends"), name_of), "contents")
     first = contents.select(F.col("line").alias("a"), F.col("content").alias("x"))
     second = contents.select(F.col("line").alias("b"), F.col("content").alias("y"))
 
     @F.arrow_udf(T.BooleanType())
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([edit_distance(p, q, threshold) <= threshold for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([edit_distance(p, q, k) <= k for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True) for k in (allowed(min(len(p), len(q)), threshold),)], pa.bool_())
 
     return found.join(first, "a").join(second, "b").where(near("x", "y")).select("a", "b")
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("line", T.LongType()), T.StructField("length", T.IntegerType())])))
-def _lines(texts: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("line", pa.int64()), ("length", pa.int32())]))
-    return pa.array([[{"at": k, "line": line_hash(x), "length": len(x)} for k, x in normal_lines(t.as_py())] for t in texts], kind)
+def _lines(text: Column, bits: int) -> Column:
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("line", T.LongType()), T.StructField("check", T.LongType()), T.StructField("length", T.IntegerType())])))
+    def cut(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("line", pa.int64()), ("check", pa.int64()), ("length", pa.int32())]))
+        return pa.array([[{"at": k, "line": h, "check": c, "length": len(x)} for k, x in normal_lines(t.as_py()) for h, c in (_halves(digest(x), bits),)] for t in texts], kind)
+
+    return cut(text)
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """line, its first place, and the least and greatest of the other halves of its digests."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
+    return rows.groupBy("line").agg(F.min(place).alias("place"), F.min("check").alias("least"), F.max("check").alias("most"))
 
 
-def line_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def line_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", name_bits: int = 64) -> DataFrame:
     """One row per line with words: row (of ``docs``), its id, at, line, length, class_id, n_links, kept.
 
-    class_id is the smallest hash among lines that chains of near lines connect, n_links the
+    class_id is the smallest name among lines that chains of near lines connect, n_links the
     number of different lines near it.  Of a class the first line stays, by id (null last),
-    row and place.  Lines under MIN_LENGTH are duplicates only when equal.  Lines are known by
-    64-bit hashes.  Null and empty texts and an empty table give no rows; repeated rows are
-    duplicates line by line.  Other columns of ``docs`` are not read.
+    row and place.  Lines under FOR_EACH code points are duplicates only when equal.  A line's
+    name is ``name_bits`` of its digest; lines that share these, but not the 64 others, get names
+    of their own.  Null and empty texts and an empty table give no rows; repeated rows are duplicates
+    line by line; lines of any length are read whole.  Other columns of ``docs`` are not read.
     """
     small_batches(docs)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = source.select(F.monotonically_increasing_id().alias("row"), "id", F.explode(_lines("text")).alias("l")).select("row", "id", "l.*")
+    rows = source.select(F.monotonically_increasing_id().alias("row"), "id", F.explode(_lines(F.col("text"), name_bits)).alias("l")).select("row", "id", "l.*")
     rows = materialize(rows, "lines")
-    links = materialize(edit_links(source.select("text")), "links")
+    # first places are known per line before lines meet in classes, so a line of a third of all documents is small here
+    firsts = materialize(_firsts(rows), "firsts")
+    shared = firsts.where("least != most").select("line")
+    clashes: dict[tuple[int, int], int] = {}
+    if not shared.isEmpty():  # some three such lines come in 10 billion
+        others = rows.join(F.broadcast(shared), "line").select("line", "check").distinct().orderBy("line", "check").collect()
+        for k, r in enumerate(others):
+            if k and others[k - 1].line == r.line:
+                h, check = r.line, r.check
+                while (h, check) in clashes or h == r.line or h in clashes.values():
+                    h, check = _halves(xxhash.xxh3_128_intdigest(f"{h} {check}".encode()))
+                clashes[r.line, r.check] = h
+        named = docs.sparkSession.createDataFrame([(h, c, n) for (h, c), n in clashes.items()], "line bigint, check bigint, name bigint")
+        rows = materialize(rows.join(F.broadcast(named), ["line", "check"], "left").withColumn("line", F.coalesce("name", "line")), "lines")
+        firsts = materialize(_firsts(rows), "firsts")
+    links = materialize(edit_links(source.select("text"), name_of=lambda: namer(clashes, name_bits)), "links")
     degree = links.select(F.col("a").alias("line")).union(links.select("b")).groupBy("line").agg(F.count(F.lit(1)).alias("n_links"))
     roots = contract(links)
     near = degree.join(roots, degree["line"] == roots["node"], "left").select("line", "n_links", F.coalesce("root", "line").alias("class_id"))
-    # first places are known per line before lines meet in classes, so a line of a third of all documents is small here
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
-    firsts = rows.groupBy("line").agg(F.min(place).alias("place"))
     known = firsts.join(near, "line", "left").select("line", "place", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "line").alias("class_id"))
     heads = known.groupBy("class_id").agg(F.min("place").alias("first"))
     known = materialize(known.join(heads, "class_id").select("line", "class_id", "n_links", "first.row", "first.at").withColumnsRenamed({"row": "first_row", "at": "first_at"}), "classes")
@@ -372,12 +461,15 @@ def line_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def documents_summary(lines: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per id of ``docs``: n_lines, n_removed, n_near (lines with a near different line), n_links, n_chars_kept."""
+    """One row per different id of ``docs``, null too: n_lines, n_removed, n_near (lines with a near different line), n_links, n_chars_kept.
+
+    Rows that repeat an id count together; ids without lines have zeros; an empty table gives no rows.
+    """
     own = lines.groupBy(F.col(id_col).alias("_v_id")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("kept")).alias("n_removed"), F.count_if(F.col("n_links") > 0).alias("n_near"),
         F.sum("n_links").alias("n_links"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("length"))), F.lit(0)).cast("long").alias("n_chars_kept"),
     )
-    ids = docs.select(F.col(f"`{id_col}`").alias(id_col))
+    ids = docs.select(F.col(f"`{id_col}`").alias(id_col)).distinct()
     joined = ids.join(own, ids[id_col].eqNullSafe(own["_v_id"]), "left")
     return joined.select(id_col, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_removed", "n_near", "n_links", "n_chars_kept")])
 
@@ -385,10 +477,14 @@ def documents_summary(lines: DataFrame, docs: DataFrame, id_col: str = "doc_id")
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs``, its columns unchanged, each text without the lines that repeat an earlier near line.
 
-    Rows of equal id must be the same document; rows with a null id keep their lines.
+    Rows of equal id and text, null ids too, change alike: what one of them keeps, all keep.
+    Null and empty texts stay as they are; an empty table gives no rows.
     """
-    gone = line_duplicates(docs, text_col, id_col).where(~F.col("kept") & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_v_id")).agg(F.collect_set("at").alias("_v_gone"))
-    joined = docs.join(gone, docs[f"`{id_col}`"] == gone["_v_id"], "left")
+    key = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    places = line_duplicates(keyed, "text", "key").groupBy("key", "at").agg(F.max("kept").alias("kept")).where("not kept")
+    gone = places.groupBy(F.col("key").alias("_v_key")).agg(F.collect_list("at").alias("_v_gone"))
+    joined = docs.withColumn("_v_of", key).join(gone, F.col("_v_of") == F.col("_v_key"), "left")
     rest = F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x, i: ~F.array_contains("_v_gone", i))
     text = F.when(F.col("_v_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(rest, "\n"))
-    return without(joined.withColumn("_v_text", text).withColumn(text_col, F.col("_v_text")).select([F.col(f"`{c}`") for c in docs.columns]), "_v_text")
+    return joined.withColumn("_v_text", text).withColumn(text_col, F.col("_v_text")).select([F.col(f"`{c}`") for c in docs.columns])
