@@ -239,21 +239,96 @@ def test_brown_base_against_brute_force_and_held_out(spark):
 def test_brown_words_beyond_the_broadcast_table(spark, monkeypatch):
     df = spark.createDataFrame(brown_fixture(spark), "doc_id bigint, text string")
     want = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6)) for r in brown.brown_scores(df, toxicity.fold(of=7) == 2).collect()}
-    monkeypatch.setattr(brown, "KNOWN", 50)
-    got = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6)) for r in brown.brown_scores(df, toxicity.fold(of=7) == 2).collect()}
-    assert got == want
-
-
-def test_brown_probabilities_sum_to_one(spark):
-    """Over every word of the vocabulary and one unseen word for each ending, after a text's start."""
-    train = [(k, "aa bb aa cc dd") for k in range(10)] + [(20, "ee ff")]
-    df = spark.createDataFrame(train, "doc_id bigint, text string")
-    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
-    rows = df.unionByName(spark.createDataFrame([(100 + k, w) for k, w in enumerate(words)] + [(200, "")], "doc_id bigint, text string"))
-    got = {r.doc_id: r.score for r in brown.brown_scores(rows, F.col("doc_id") >= 100).collect()}
-    # the end alone, and each word with the end after it, are separate and far from all there is
-    assert 10 ** got[200] + sum(10 ** got[100 + k] for k in range(len(words))) < 1
-    assert all(s < 0 for s in got.values())
+    for head, known in ((8192, 50), (20, 50), (20, 200), (20, 20)):
+        monkeypatch.setattr(brown, "HEAD", head)
+        monkeypatch.setattr(brown, "KNOWN", known)
+        got = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6)) for r in brown.brown_scores(df, toxicity.fold(of=7) == 2).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("known", [20, 60, 1000])
+def test_brown_scores_against_brute_force(spark, monkeypatch, known):
+    """Scores from the classes alone, by plain loops; and all probabilities after any class sum to one."""
+    monkeypatch.setattr(brown, "HEAD", 20)
+    monkeypatch.setattr(brown, "KNOWN", known)
+    rows = brown_fixture(spark)
+    rows += [(600 + k, f"x1 rare{k} y2 rare{k % 7}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    got = brown.brown_scores(df, toxicity.fold(of=7) == 2).collect()
+    texts, far, model, seen = brown._learn(df.select(F.col("doc_id").alias("id"), F.coalesce(toxicity.fold(of=7) == 2, F.lit(False)).alias("held_out"), "text"))
+    lex, d = seen["lexicon"], seen["discount"]
+    tokens = lambda t: [None, *(t or "").encode().lower().split(), None]
+    count = Counter(w for i, t in rows if not held(i) for w in tokens(t)[1:])
+    names = lex.text.split()
+    assert names[:20] == sorted((w for w in count if w), key=lambda w: (-count[w], w))[:20]
+    of = {w: int(model.classes[1 + k]) for k, w in enumerate(names)} | {bytes(r.word): r["class"] for r in far.collect()} | {None: int(model.classes[0])}
+    assert set(of) == set(count)
+    cls = lambda w: of[w] if w in of else int(model.classes[1 + lex.known + brown.ending(w)])
+    pairs, mass, spare = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            pairs.update((cls(a), cls(b)) for a, b in zip(tokens(t), tokens(t)[1:], strict=False))
+    for w, n in count.items():
+        mass[of[w]] += n
+        spare[of[w]] += d * (w is not None and w not in names[:20])
+    k = len(model.steps)
+    total = sum(mass[c] + 1 for c in range(k))
+    step = lambda a, b: (pairs[a, b] + brown.SMOOTHING * (mass[b] + 1) / total) / (sum(pairs[a, x] for x in range(k)) + brown.SMOOTHING)
+    weight = lambda w: count[w] - (d if w is not None and w not in names[:20] else 0)
+    unseen = lambda a: sum(step(a, c) * (spare[c] + 1) / (mass[c] + 1) for c in range(k))
+    for a in range(k):
+        assert abs(sum(step(a, of[w]) * weight(w) / (mass[of[w]] + 1) for w in count) + unseen(a) - 1) < 1e-9
+    spell = {w: float(lex.spelling([w])[0]) for i, t in rows for w in tokens(t) if w and w not in of}
+    sums = {}
+    for i, t in rows:
+        if (t or "") not in sums and len(t or "") < 1000:
+            sums[t or ""] = sum(math.log10(step(cls(a), of[b]) * weight(b) / (mass[of[b]] + 1)) if b in of else math.log10(unseen(cls(a))) + spell[b] for a, b in zip(tokens(t), tokens(t)[1:], strict=False))
+    by = {i: t or "" for i, t in rows}
+    assert spell and all(abs(r.score - sums[by[r.doc_id]]) < 1e-6 for r in got if by[r.doc_id] in sums)
+
+
+def test_spelling_sums_to_one_at_most():
+    words = [b"an", b"ana", b"na", "né".encode(), b"a1", b"b"]
+    code, _, starts = brown.Spelling.trigrams(words)
+    keep = np.ones(len(code), bool)
+    keep[starts[1:] - 1] = False
+    model = brown.Spelling(np.bincount(code[keep], minlength=brown._LETTERS**3))
+    one = [bytes([b]) for b in range(256) if b not in b" \t\n\x0b\x0c\r"]
+    two = [a + b for a in one for b in one]
+    assert np.allclose(model(one + two)[: len(one)], [model([w])[0] for w in one])
+    total = (10.0 ** model(one)).sum() + (10.0 ** model(two)).sum()
+    assert 0.3 < total < 1 and model([b"an"]) > model([b"zq"])
+
+
+def test_word_exchange_against_one_by_one():
+    """Each word's class maximises the class bigram likelihood, its own counts moved with it."""
+    rng = np.random.default_rng(5)
+    k, pairs = 5, rng.integers(1, 50, (5, 5)).astype(float)
+    words = {}
+    for w in range(40):
+        own = int(rng.integers(0, k))
+        words[w << 8 | own] = Counter((int(rng.integers(0, k)), int(rng.integers(0, k))) for _ in range(rng.integers(1, 6)))
+    entries = sorted((name << 16 | b << 8 | a, n) for name, c in words.items() for (b, a), n in c.items())
+    for name, c in words.items():  # the table holds what the words bring
+        for (b, a), n in c.items():
+            pairs[b, name & 255] += n
+            pairs[name & 255, a] += n
+    names, new = brown.better_classes(np.array([e for e, _ in entries], np.uint64), np.array([n for _, n in entries]), pairs)
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    for name, got in zip(names.tolist(), new.tolist(), strict=True):
+        before, after = Counter(), Counter()
+        for (b, a), n in words[name].items():
+            before[b] += n
+            after[a] += n
+        size, gains = sum(before.values()), []
+        for c in range(k):
+            off = name & 255 == c  # its counts are in the table there already
+            gain = sum(f(pairs[b, c] + (0 if off else n)) - f(pairs[b, c] - (n if off else 0)) for b, n in before.items())
+            gain += sum(f(pairs[c, a] + (0 if off else n)) - f(pairs[c, a] - (n if off else 0)) for a, n in after.items())
+            total = pairs[:, c].sum()
+            gains.append(gain - 2 * (f(total + (0 if off else size)) - f(total - (size if off else 0))))
+        assert gains[got] >= max(gains) - 1e-6
 
 
 def test_brown_without_training_rows(spark):
