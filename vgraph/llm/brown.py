@@ -98,66 +98,71 @@ def _packed(block: int, counts: np.ndarray) -> pa.RecordBatch:
 
 def _letters() -> np.ndarray:
     """Symbols of bytes in spelling, by rule: letters, digits, the rest of ASCII, UTF-8 beginnings and continuations; 0 ends a word."""
-    out = np.full(256, 37)
-    out[:32] = 57
+    out = np.full(256, 28)
     out[32] = 0
     out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("0") : ord("9") + 1] = np.arange(27, 37)
-    out[0x80:0xC0] = 41 + np.arange(64) // 4
-    out[0xC0:] = 40
-    out[0xC2], out[0xC3] = 38, 39
+    out[ord("0") : ord("9") + 1] = 27
+    out[0x80:0xC0] = 32 + np.arange(64) // 4
+    out[0xC0:] = 31
+    out[0xC2], out[0xC3] = 29, 30
     return out
 
 
-_LETTER, _LETTERS = _letters(), 58
+_LETTER, _LETTERS, _WINDOW = _letters(), 48, 4
 #: log10 of the probability of a byte among those of its symbol.
 _WITHIN = -np.log10(np.bincount(_LETTER, minlength=_LETTERS)[_LETTER])
 
 
 class Spelling:
-    """Probabilities of words by trigrams of byte symbols, over bigrams, over single ones; all words together have one at most."""
+    """Probabilities of words by windows of byte symbols, each length mixed with the next shorter one; all words together have one at most."""
 
-    def __init__(self, counts: np.ndarray, weight: float = 5.0):
-        three = counts.reshape(_LETTERS, _LETTERS, _LETTERS).astype(float)
-        two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-        p1 = (one + 1) / (one.sum() + _LETTERS)
-        p2 = (two + weight * p1) / (two.sum(axis=1, keepdims=True) + weight)
-        self.logs = np.log10((three + weight * p2) / (three.sum(axis=2, keepdims=True) + weight)).astype(np.float32)
+    def __init__(self, counts: np.ndarray):
+        """``counts``: of windows, by code."""
+        p = np.full(_LETTERS, 1 / _LETTERS)
+        for n in range(1, _WINDOW + 1):
+            c = counts.reshape(-1, *(_LETTERS,) * n).sum(axis=0, dtype=np.float64)
+            other = np.maximum((c > 0).sum(axis=-1, keepdims=True), 1.0)  # as many as there are symbols that follow
+            p = (c + other * p) / (c.sum(axis=-1, keepdims=True) + other)
+        self.logs = np.log10(p).astype(np.float32).ravel()
 
     @staticmethod
-    def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words one after another: the code of each trigram, the byte at its end, and where each word begins."""
-        raw = np.frombuffer(b"  " + b"  ".join(words) + b" ", np.uint8)
+    def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words one after another: the code of each window, the byte at its end, and where each word begins; codes between words are -1."""
+        gap = b" " * (_WINDOW - 1)
+        raw = np.frombuffer(gap + gap.join(words) + b" ", np.uint8)
         s = _LETTER[raw]
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(n + 2) - n - 2
-        return (s[:-2] * _LETTERS + s[1:-1]) * _LETTERS + s[2:], raw[2:], starts
+        n = np.fromiter(map(len, words), np.int64, len(words)) + _WINDOW - 1
+        starts = np.cumsum(n) - n
+        code = np.zeros(len(raw) - _WINDOW + 1, np.int64)
+        for k in range(_WINDOW):
+            code = code * _LETTERS + s[k : k + len(code)]
+        for k in range(1, _WINDOW - 1):  # a word's end is spelled once; further spaces only move the window on
+            code[starts[1:] - k] = -1
+        return code, raw[_WINDOW - 1 :], starts
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each word."""
         if not words:
             return np.zeros(0)
-        code, last, starts = self.trigrams(words)
-        logs = self.logs.ravel()[code].astype(float) + _WITHIN[last]
-        logs[starts[1:] - 1] = 0.0  # one more space between words only moves the window on
-        return np.add.reduceat(logs, starts)
+        code, last, starts = self.windows(words)
+        return np.add.reduceat(np.where(code >= 0, self.logs[code] + _WITHIN[last], 0.0), starts)
 
 
-def _spelling(words: DataFrame, spread: int) -> Spelling:
-    """A model of the spelling of ``words`` (a column of bytes), each counted once."""
+def _spelling(words: DataFrame) -> Spelling:
+    """A model of the spelling of ``words`` (a column of bytes), each counted once; it has a number for each window at most."""
 
     def count(batches):
-        total = np.zeros(_LETTERS**3, np.int64)
+        total = np.zeros(_LETTERS**_WINDOW, np.int64)
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            if own:
-                code, _, starts = Spelling.trigrams(own)
-                keep = np.ones(len(code), bool)
-                keep[starts[1:] - 1] = False
-                total += np.bincount(code[keep], minlength=len(total))
-        if total.any():
-            yield _packed(0, total)
+            code = Spelling.windows(batch.column(0).to_pylist())[0] if batch.num_rows else np.zeros(0, np.int64)
+            total += np.bincount(code[code >= 0], minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["code", "n"])
 
-    return Spelling(_added(words.mapInArrow(count, "block int, kind string, counts binary"), 1, spread).get(0, np.zeros(_LETTERS**3)))
+    found = words.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_LETTERS**_WINDOW)
+    counts[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return Spelling(counts)
 
 
 class Lexicon:
@@ -168,7 +173,7 @@ class Lexicon:
         rank = np.arange(len(words))
         own = np.where(rank < HEAD, 1 + rank, 1 + HEAD + np.array([ending(w) for w in words], np.int64))
         self.symbol = np.concatenate([[0], own, 1 + HEAD + np.arange(ENDINGS)]).astype(np.int64)
-        self.hash = np.concatenate([[0], np.array([word_hash(w) for w in words], np.uint64), np.zeros(ENDINGS)]).astype(np.uint64)
+        self.hash = np.array([0, *map(word_hash, words), *[0] * ENDINGS], np.uint64)
         self.base = np.log10(np.r_[documents, counts] + 1.0)
         self.own = np.log10(np.r_[max(documents, 1), np.where(rank < HEAD, counts, counts - discount)])
         self.seen_end = int(documents > 0)
@@ -442,7 +447,7 @@ def _learn(source: DataFrame) -> tuple[DataFrame, DataFrame, Model | None, dict]
     if v > head:  # words behind the last symbol of its own in the same order
         word, most = F.lit(bytearray(words[head - 1])), F.lit(int(counts[head - 1]))
         rest = vocabulary.where((F.col("n") < most) | ((F.col("n") == most) & (F.col("word") > word)))
-    spelling = _spelling((rest if v > head else vocabulary).select("word"), spread)
+    spelling = _spelling((rest if v > head else vocabulary).select("word"))
     lexicon = spark.sparkContext.broadcast(Lexicon(words, counts, documents, discount, spelling))
     lex = lexicon.value
 
