@@ -261,7 +261,8 @@ def test_brown_scores_against_brute_force(spark, monkeypatch, known):
     tokens = lambda t: [None, *(t or "").encode().lower().split(), None]
     count = Counter(w for i, t in rows if not held(i) for w in tokens(t)[1:])
     names = lex.text.split()
-    assert names[:20] == sorted((w for w in count if w), key=lambda w: (-count[w], w))[:20]
+    head = set(names[:20])  # fewer where ties would exceed the known words
+    assert len(names) >= 10 and names == sorted((w for w in count if w), key=lambda w: (-count[w], w))[: len(names)]
     of = {w: int(model.classes[1 + k]) for k, w in enumerate(names)} | {bytes(r.word): r["class"] for r in far.collect()} | {None: int(model.classes[0])}
     assert set(of) == set(count)
     cls = lambda w: of[w] if w in of else int(model.classes[1 + lex.known + brown.ending(w)])
@@ -271,11 +272,11 @@ def test_brown_scores_against_brute_force(spark, monkeypatch, known):
             pairs.update((cls(a), cls(b)) for a, b in zip(tokens(t), tokens(t)[1:], strict=False))
     for w, n in count.items():
         mass[of[w]] += n
-        spare[of[w]] += d * (w is not None and w not in names[:20])
+        spare[of[w]] += d * (w is not None and w not in head)
     k = len(model.steps)
     total = sum(mass[c] + 1 for c in range(k))
     step = lambda a, b: (pairs[a, b] + brown.SMOOTHING * (mass[b] + 1) / total) / (sum(pairs[a, x] for x in range(k)) + brown.SMOOTHING)
-    weight = lambda w: count[w] - (d if w is not None and w not in names[:20] else 0)
+    weight = lambda w: count[w] - (d if w is not None and w not in head else 0)
     unseen = lambda a: sum(step(a, c) * (spare[c] + 1) / (mass[c] + 1) for c in range(k))
     for a in range(k):
         assert abs(sum(step(a, of[w]) * weight(w) / (mass[of[w]] + 1) for w in count) + unseen(a) - 1) < 1e-9

@@ -28,7 +28,7 @@ from .common import materialize, small_batches
 
 #: Words that are exchanged one after another, and symbols of endings.
 HEAD, ENDINGS = 8192, 1024
-#: Most frequent words whose counts and classes are broadcast (about 8 MB); all others are joined.
+#: Most frequent words at most whose counts and classes are broadcast (about 8 MB); all others are joined.
 KNOWN = 262_144
 #: Classes at most, as a class is written in one byte; a vocabulary of 270 million words has so many.
 CLASSES = 256
@@ -92,7 +92,7 @@ def _added(parts: DataFrame, blocks: int, spread: int) -> dict[int, np.ndarray]:
 
 
 def _packed(block: int, counts: np.ndarray) -> pa.RecordBatch:
-    kind = "<u4" if counts.max(initial=0) < 1 << 32 else "<u8"
+    kind = next(k for k, bits in (("<u1", 8), ("<u2", 16), ("<u4", 32), ("<u8", 64)) if int(counts.max(initial=0)) < 1 << bits)
     return pa.record_batch([pa.array([block], pa.int32()), pa.array([kind]), pa.array([counts.astype(kind).tobytes()], pa.binary())], ["block", "kind", "counts"])
 
 
@@ -118,12 +118,16 @@ class Spelling:
 
     def __init__(self, counts: np.ndarray):
         """``counts``: of windows, by code."""
-        p = np.full(_LETTERS, 1 / _LETTERS)
-        for n in range(1, _WINDOW + 1):
-            c = counts.reshape(-1, *(_LETTERS,) * n).sum(axis=0, dtype=np.float64)
+
+        def mixed(c: np.ndarray, p: np.ndarray) -> np.ndarray:
             other = np.maximum((c > 0).sum(axis=-1, keepdims=True), 1.0)  # as many as there are symbols that follow
-            p = (c + other * p) / (c.sum(axis=-1, keepdims=True) + other)
-        self.logs = np.log10(p).astype(np.float32).ravel()
+            return (c + other * p) / (c.sum(axis=-1, keepdims=True) + other)
+
+        p = np.full(_LETTERS, 1 / _LETTERS)
+        for n in range(1, _WINDOW):
+            p = mixed(counts.reshape(-1, *(_LETTERS,) * n).sum(axis=0, dtype=np.float64), p)
+        # the longest windows by their first symbols, as the whole table takes much of a driver
+        self.logs = np.concatenate([np.log10(mixed(c, p)).astype(np.float32).ravel() for c in counts.reshape(_LETTERS, *p.shape)])
 
     @staticmethod
     def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +164,7 @@ def _spelling(words: DataFrame) -> Spelling:
         yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["code", "n"])
 
     found = words.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(_LETTERS**_WINDOW)
+    counts = np.zeros(_LETTERS**_WINDOW, np.int64)
     counts[found.column("code").to_numpy()] = found.column("n").to_numpy()
     return Spelling(counts)
 
@@ -440,11 +444,18 @@ def _learn(source: DataFrame) -> tuple[DataFrame, DataFrame, Model | None, dict]
     n, v, once, twice = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
     spread = max(1, int(np.ceil(np.sqrt(n / RANGE_TOKENS))))
-    order = (F.desc("n"), "word")
-    top = vocabulary.orderBy(*order).limit(KNOWN).toArrow()
-    words, counts = top.column("word").to_pylist(), top.column("n").to_numpy().astype(float)
+    # the words found more often than a cut, of which there are KNOWN at most, so that no task sorts what every task has
+    often = np.array(sorted(((r.n, r.words) for r in vocabulary.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True), np.int64).reshape(-1, 2)
+    fit = int(np.searchsorted(np.cumsum(often[:, 1]), KNOWN, side="right"))
+    cut = int(often[fit, 0]) if fit < len(often) else 0
+    top = vocabulary.where(F.col("n") > cut).select("n", "word").collect()
+    top.sort(key=lambda r: (-r.n, r.word))
+    words, counts = [bytes(r.word) for r in top], np.array([r.n for r in top], float)
+    del top
     head, rest = min(HEAD, len(words)), vocabulary.where(F.lit(False))
-    if v > head:  # words behind the last symbol of its own in the same order
+    if not head:
+        rest = vocabulary
+    elif v > head:  # words behind the last symbol of its own in the same order
         word, most = F.lit(bytearray(words[head - 1])), F.lit(int(counts[head - 1]))
         rest = vocabulary.where((F.col("n") < most) | ((F.col("n") == most) & (F.col("word") > word)))
     spelling = _spelling((rest if v > head else vocabulary).select("word"))
@@ -473,8 +484,9 @@ def _learn(source: DataFrame) -> tuple[DataFrame, DataFrame, Model | None, dict]
         for r in far.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
             mass[r["class"]] += r.n
             types[r["class"]] += r.types
-        near = far.orderBy(*order).limit(len(words) - head).select("class").toArrow().column(0).to_numpy() if len(words) > head else []
-        of_code[1 + head : 1 + len(words)] = near
+        near = {bytes(r.word): r["class"] for r in far.where(F.col("n") > cut).select("word", "class").collect()} if len(words) > head else {}
+        for c, w in enumerate(words, 1):
+            of_code[c] = near.get(w, of_code[c])
     # texts as classes: those of codes, and for words beyond the lexicon those that the join finds
     tail = encoded.select("row", F.explode("tail").alias("t")).select("row", "t.*").join(far.withColumnRenamed("n", "c"), "word", "left")
     there = F.col("c").isNotNull()

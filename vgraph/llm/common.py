@@ -18,16 +18,21 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Java and RE2 spelling of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch at most while texts go to Python, so that a batch of long texts stays small beside a task's memory.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most while texts go to Python, so that a batch stays small beside a task's memory; only a
+#: text that is longer by itself makes a larger one.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def small_batches(df: DataFrame) -> SparkSession:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger. Returns the session."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES`` where they are larger. Returns the session.
+
+    The settings stay lowered, as what an operator returns is run later; they change no result.
+    """
+    spark = df.sparkSession
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))  # plain numbers, too
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
     return spark
 
 
