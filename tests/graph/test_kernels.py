@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vgraph import queries
+from vgraph.errors import NotConverged
 from vgraph.graph import Direction, Graph
 from vgraph.kernels import betweenness, components, degree, pagerank, paths
 from vgraph.operators import traversal, vertex_sets
@@ -119,6 +120,86 @@ def test_strong_components_are_registered_over_a_whole_graph(spark):
     assert set(by_vid(queries.QUERIES["scc_next"](spark, sf), "component")) == ids
 
 
+def test_strong_components_of_long_cycles(spark):
+    edges = [(k, (k + 1) % 40, 1) for k in range(40)] + [(100 + k, 100 + (k * 7 + 7) % 91, 1) for k in range(91)]
+    got = by_vid(components.strong(graph(spark, edges)), "component")
+    assert {got[k] for k in range(40)} == {0}
+    reach = {k: {k} for k in range(100, 191)}
+    for _ in range(95):
+        for a, b, _w in edges[40:]:
+            reach[a] |= reach[b]
+    assert all(got[k] == min(x for x in reach[k] if k in reach[x]) for k in reach)
+
+
+def test_registered_strong_components_against_brute_force(spark):
+    """Over all orders: the components of a closure walked in plain Python."""
+    sf = "/root/testdata/sf0.001"
+    g = queries._orders(spark, sf)
+    after = {}
+    for r in g.edges.collect():
+        after.setdefault(r.src, set()).add(r.dst)
+
+    def reached(v):
+        seen, todo = {v}, [v]
+        while todo:
+            for x in after.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    near = {v: reached(v) for v in after}
+    want = {r.vid: min([r.vid, *(x for x in near.get(r.vid, ()) if r.vid in near.get(x, ()))]) for r in g.vertices.collect()}
+    assert by_vid(queries.QUERIES["scc"](spark, sf), "component") == want
+
+
+def test_placed_and_spread_graphs_give_the_same(spark):
+    rng = random.Random(3)
+    edges = [(rng.choice([0, rng.randrange(30)]), rng.randrange(30), rng.randint(1, 9)) for _ in range(150)]
+    g = graph(spark, edges, 30)
+    assigned = g.edges.withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(3)).cast("int"))
+    for other in (g.placed(assigned), g.spread_hubs(4, 20)):
+        assert other.edges.count() == 150 and other.edges.select("part").distinct().count() > 1
+        for way in Direction:
+            assert by_vid(traversal.scatter_step(other, F.col("vid"), way), "value") == by_vid(traversal.scatter_step(g, F.col("vid"), way), "value")
+        assert by_vid(paths.sssp(other, paths.roots(g, 0)).state, "dist", "pred") == by_vid(paths.sssp(g, paths.roots(g, 0)).state, "dist", "pred")
+        assert by_vid(traversal.scatter_step(other.symmetrize(), F.lit(1), Direction.OUT), "value") == by_vid(traversal.scatter_step(g, F.lit(1), Direction.BOTH), "value")
+
+
+def test_names_get_dense_numbers(spark):
+    e = spark.createDataFrame([("b", "a", 1), ("c", "b", 2), ("ä", "c", 3), (None, "x", 4)], "src string, dst string, w bigint")
+    g, names = Graph.from_names(e)
+    assert {r.name: r.vid for r in names.collect()} == {"a": 0, "b": 1, "c": 2, "ä": 3}
+    assert sorted(tuple(r) for r in g.edges.collect()) == [(1, 0, 1), (2, 1, 2), (3, 2, 3)] and g.vertices.count() == 4
+    sparse, names = Graph.from_names(spark.createDataFrame([(10**15, -5), (7, 10**15)], "src bigint, dst bigint"))
+    assert sorted((r.name, r.vid) for r in names.collect()) == [(-5, 0), (7, 1), (10**15, 2)]
+
+
+def test_edges_of_vertex_zero_only(spark):
+    g = graph(spark, [(0, 0, 1)])
+    assert g.vertices.count() == 1 and by_vid(degree.degree(g, Direction.BOTH), "degree") == {0: 2}
+
+
+def test_fractional_weights(spark):
+    g = Graph.from_edges(spark.createDataFrame([(0, 1, 0.75), (0, 2, 0.25), (2, 1, 0.25)], "src bigint, dst bigint, w double"))
+    assert by_vid(paths.sssp(g, paths.roots(g, 0)).state, "dist") == {0: 0.0, 1: 0.5, 2: 0.25}
+
+
+def test_hooks_and_what_a_run_leaves(spark):
+    g = graph(spark, PATH4)
+    p = VertexProgram(
+        state={"n": F.when(F.col("vid") == 0, 0)}, message={"m": F.col("n") + 1}, combine={"c": F.min("m")}, apply=lambda: {"n": F.coalesce("n", "c")}, activate=F.col("n").isNull(), active=F.col("vid") == 0,
+        aggregate={"known": F.count("n")}, output_statistics=lambda df: {"largest": df.agg(F.max("n")).first()[0]},
+    )
+    out = run(p, g)
+    assert out.converged and out.output == {"largest": 3}
+    assert [(m["active"], m["known"], m["messages"], m["combined"]) for m in out.metrics] == [(1, 2, 1, 1), (1, 3, 1, 1), (1, 4, 1, 1), (0, 4, 0, 0)]
+    short = run(p, g, max_supersteps=2)
+    assert not short.converged and short.output == {"largest": 2}
+    with pytest.raises(NotConverged):
+        run(p, g, max_supersteps=2, must_converge=True)
+
+
 def test_relabelling_permutes_and_partitions_do_not_matter(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(30), rng.randrange(30), rng.randint(1, 9)) for _ in range(60)]

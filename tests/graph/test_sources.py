@@ -83,11 +83,48 @@ def test_partitioners_replay(spark):
         got = rows(P.partition_edges(df, kind, 4, 3))
         want = []
         for loader in range(3):
-            state = P.chooser(kind, 4, len(edges) / 4 / 3)
+            state = P.chooser(kind, 4, len(edges) // 4 // 3)
             want += [(s, d, state.place(s, d)) for s, d in sorted(e for e in edges if e[0] % 3 == loader)]
         assert got == sorted(want), kind
 
 
+def formula(kind, n, cap, counts, known, src, dst):
+    """The score of each part, written out as it is described."""
+    has_s, has_d = known[0].get(src, set()), known[1].get(dst, set())
+    most, base = max(counts), 1 + max(counts) - min(counts)
+    out = []
+    for i in range(n):
+        s, d, own_s, own_d = i in has_s, i in has_d, src % n == i, dst % n == i
+        if kind in ("greedy", "ldg"):
+            affinity = 1.0 if s else (0.5 if own_s else 0.0) + (1.0 if d else 0.5 if own_d else 0.0)
+            out.append(affinity * (1 + (most - counts[i]) / base if kind == "greedy" else abs(1 - counts[i] / cap)))
+        else:
+            home = 0.5 if kind in ("edge", "edge1") else 0.0
+            out.append((most - counts[i]) / base + s + d + home * own_s + home * own_d)
+    return out
+
+
+def test_partitioners_against_formulas(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(25), rng.randrange(25)) for _ in range(400)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    n, loaders = 4, 2
+    for kind in P.KINDS:
+        want = []
+        for loader in range(loaders):
+            counts, sources = [0] * n, {}
+            known = (sources, sources if kind == "edge1" else {})
+            for s, d in sorted(e for e in edges if e[0] % loaders == loader):
+                scores = formula(kind, n, len(edges) // n // loaders, counts, known, s, d)
+                equal = [i for i, x in enumerate(scores) if max(scores) - x < 1e-4]
+                best = s % n if kind == "parallel" and s % n == d % n else equal[(s + d) % len(equal)]
+                counts[best] += 1
+                known[0].setdefault(s, set()).add(best)
+                known[1].setdefault(d, set()).add(best)
+                want.append((s, d, best))
+        assert rows(P.partition_edges(df, kind, n, loaders)) == sorted(want), kind
+
+
 def test_partition_rules():
     # an edge's first part is that of both owners; a known source draws later edges
     x = P.chooser("greedy", 4)
@@ -121,6 +158,12 @@ def test_statistics(spark):
         assert abs(got.harmonic_stddev - np.sqrt(sum((i - np.mean(inv)) ** 2 for i in inv)) / (n - 1) * h * h) < 1e-9
 
 
+def test_extremes_and_text(spark):
+    df = spark.createDataFrame([(3, 2.5), (None, -1.0), (7, None)], "a bigint, b double")
+    assert statistics.extremes(df, "a", "b").first().asDict() == {"max_a": 7, "min_a": 3, "max_b": 2.5, "min_b": -1.0}
+    assert rows(df.select(bits.to_string(F.col("b")).alias("t")).where("t is not null")) == [("-1.0",), ("2.5",)]
+
+
 def test_bits_and_sets(spark):
     ids = spark.createDataFrame([(0,), (63,), (64,), (200,)], "vid bigint")
     words = bits.set_to_bitmap(ids)
@@ -141,5 +184,8 @@ def test_streams(spark, tmp_path):
     c = streams.Components(spark)
     streams.follow(streams.read_edge_stream(spark, str(tmp_path / "in"), 1), c.update, str(tmp_path / "at")).awaitTermination()
     assert rows(c.forest) == [(1, 0), (2, 0), (3, 0), (8, 7)]
+    found = streams.Latest()
+    streams.follow(streams.degree_stream(streams.read_edge_stream(spark, str(tmp_path / "in"), 1)), found.update, str(tmp_path / "at3"), "complete").awaitTermination()
+    assert rows(found.table) == [(0, 2), (2, 1), (7, 1)]
     streams.degree_stream(streams.read_edge_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("deg").option("checkpointLocation", str(tmp_path / "at2")).trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.table("deg")) == [(0, 2), (2, 1), (7, 1)]

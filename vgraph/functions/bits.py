@@ -14,6 +14,11 @@ def align_up(x: Column, to: int = 64) -> Column:
     return align_down(x + (to - 1), to)
 
 
+def to_string(x: Column) -> Column:
+    """A number as text."""
+    return x.cast("string")
+
+
 def count_ones(word: Column) -> Column:
     return F.bit_count(word)
 

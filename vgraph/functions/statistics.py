@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 NAMES = ("min", "q1", "median", "q3", "max", "mean", "stddev", "harmonic_mean", "harmonic_stddev")
 
 
@@ -13,13 +15,18 @@ def summary(df: DataFrame, column: str) -> DataFrame:
 
     Quartiles take the sorted values at places (n+1)/4, (n+1)/2 and 3(n+1)/4 counted from
     zero, between two places blended 3:1, 1:1 and 1:3.  Zeros add nothing to sums of inverses.
-    Values are ranked by counts per distinct value, so equal values never meet in one task.
+    Values are counted per distinct value and ranked within ranges of values, of which only
+    the totals are summed up in one place.
     """
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
     inverse = F.when(F.col("x") != 0, 1 / F.col("x")).otherwise(0.0)
     total = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"), F.sum(inverse).alias("inverses"), F.stddev_samp(inverse).alias("spread"))
     each = x.groupBy("x").agg(F.count(F.lit(1)).alias("k"))
-    ranked = each.withColumn("upto", F.sum("k").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    ranged = materialize(each.repartitionByRange("x").withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranged.groupBy("range").agg(F.sum("k").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.sum("k").over(Window.partitionBy("range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.withColumn("own", own).join(F.broadcast(starts), "range").withColumn("upto", F.col("start") + F.col("own"))
     n = total.first().n
     whole, quarter = divmod(n + 1, 4)
     half, third = (n + 1) // 2, 3 * (n + 1) // 4
@@ -35,3 +42,8 @@ def summary(df: DataFrame, column: str) -> DataFrame:
     harmonic = F.col("n") / F.col("inverses")
     both = total.crossJoin(quartiles).withColumn("harmonic_mean", harmonic).withColumn("harmonic_stddev", F.col("spread") / F.sqrt(F.col("n") - 1) * harmonic * harmonic)
     return both.select(*NAMES)
+
+
+def extremes(df: DataFrame, *columns: str) -> DataFrame:
+    """One row with the largest and the smallest value of each column: max_<column>, min_<column>."""
+    return df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("max", F.max), ("min", F.min))])

@@ -30,7 +30,7 @@ def bfs(graph: Graph, sources: DataFrame, direction: Direction = Direction.OUT,
         direction=direction,
     )
     out = run(program, graph, sources, max_supersteps, _start(graph, sources))
-    return Run(out.state.where("level is not null").select("vid", "level", "label", "parent"), out.metrics)
+    return Run(out.state.where("level is not null").select("vid", "level", "label", "parent"), out.metrics, out.converged)
 
 
 def sssp(graph: Graph, sources: DataFrame, weight: str | None = "w", direction: Direction = Direction.OUT, max_supersteps: int | None = None) -> Run:
@@ -39,16 +39,21 @@ def sssp(graph: Graph, sources: DataFrame, weight: str | None = "w", direction:
     Rounds go on until no vertex is active, unless ``max_supersteps`` caps them.  Weights must
     not be negative.  A source keeps distance zero and no predecessor.
     """
-    step = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    kind = graph.edges.schema[weight].dataType.simpleString() if weight else "bigint"
+    if kind in ("tinyint", "smallint", "int"):  # sums of whole numbers are longs, of others what the weights are
+        kind = "bigint"
+    elif kind == "float":
+        kind = "double"
+    step = F.col(weight).cast(kind) if weight else F.lit(1).cast(kind)
     better = F.col("dist").isNull() | (F.col("best.d") < F.col("dist"))
     equal = (F.col("best.d") == F.col("dist")) & (F.col("best.p") < F.col("pred"))
     program = VertexProgram(
-        state={"dist": F.when(F.col("_root"), 0).cast("bigint"), "pred": F.lit(None).cast("bigint")},
-        message={"offer": F.struct((F.col("dist") + step).alias("d"), F.col("vid").alias("p"))},
+        state={"dist": F.when(F.col("_root"), 0).cast(kind), "pred": F.lit(None).cast("bigint")},
+        message={"offer": F.struct((F.col("dist") + step).cast(kind).alias("d"), F.col("vid").alias("p"))},
         combine={"best": F.min("offer")},  # the least distance, then the least sender
         apply=lambda: {"dist": F.when(better, F.col("best.d")).otherwise(F.col("dist")), "pred": F.when(better | equal, F.col("best.p")).otherwise(F.col("pred"))},
         activate=better,
         direction=direction,
     )
     out = run(program, graph, sources, max_supersteps, _start(graph, sources))
-    return Run(out.state.where("dist is not null").select("vid", "dist", "pred"), out.metrics)
+    return Run(out.state.where("dist is not null").select("vid", "dist", "pred"), out.metrics, out.converged)

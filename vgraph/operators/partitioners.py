@@ -41,14 +41,18 @@ class Loader:
         return best
 
 
-def _affinity(parts: set[int], own: bool, i: int) -> float:
-    return 1.0 if i in parts else 0.5 if own else 0.0
-
-
 def _product(balance: Callable) -> Callable:
+    """Affinity times balance.  A part that has the source counts one, target or not; others half
+    for owning the source, plus one for having the target or else half for owning it."""
+
     def score(x: Loader, src: int, dst: int) -> list[float]:
-        s, d, p = x.sources[src], x.targets[dst], x.parts
-        return [b * (_affinity(s, src % p == i, i) + _affinity(d, dst % p == i, i)) for i, b in enumerate(balance(x))]
+        out = list(balance(x))
+        has_source, has_target = x.sources[src], x.targets[dst]
+        for i in range(x.parts):
+            if i not in has_source:
+                target = 1.0 if i in has_target else 0.5 * (dst % x.parts == i)
+                out[i] *= target + 0.5 * (src % x.parts == i)
+        return out
 
     return score
 
@@ -68,15 +72,15 @@ def _spread(x: Loader) -> list[float]:
     return [1 + (most - n) / base for n in x.counts]
 
 
-def chooser(kind: str, parts: int, capacity: float = 1.0) -> Loader:
+def chooser(kind: str, parts: int, capacity: int = 1) -> Loader:
     """A loader's state for one of the kinds.
 
-    ``greedy``: affinity to endpoints times balance.  ``ldg``: affinity times room left under
-    ``capacity``.  ``edge``: balance plus both endpoints and half for their owners.  ``edge1``: the
+    ``greedy``: affinity to endpoints times balance.  ``ldg``: affinity times the distance from
+    ``capacity``, a whole number, as a share of it.  ``edge``: balance plus both endpoints and half for their owners.  ``edge1``: the
     same with one map for both endpoints.  ``plain``: balance plus endpoints.  ``parallel``: plain,
     but edges whose ends have one owner go there.
     """
-    room = lambda x: [abs(1.0 - n / max(capacity, 1.0)) for n in x.counts]
+    room = lambda x: [abs(1.0 - n / max(capacity, 1)) for n in x.counts]
     return {
         "greedy": lambda: Loader(parts, _product(_spread)), "ldg": lambda: Loader(parts, _product(room)),
         "edge": lambda: Loader(parts, _sum(0.5)), "edge1": lambda: Loader(parts, _sum(0.5), shared=True),
@@ -87,10 +91,18 @@ def chooser(kind: str, parts: int, capacity: float = 1.0) -> Loader:
 KINDS = ("greedy", "ldg", "edge", "edge1", "plain", "parallel")
 
 
+#: Edges for which a loader is laid out, as it keeps the parts of all endpoints it has met.
+LOADER_EDGES = 5_000_000
+
+
 def partition_edges(edges: DataFrame, kind: str, parts: int, loaders: int | None = None) -> DataFrame:
-    """src, dst, part.  A loader takes the edges of sources with one remainder, in order of src and dst."""
-    loaders = loaders or parts
-    capacity = edges.count() / parts / loaders if kind == "ldg" else 1.0
+    """src, dst, part.  A loader takes the edges of sources with one remainder, in order of src and dst.
+
+    By default there are as many loaders as parts, or as many times more as LOADER_EDGES asks for.
+    """
+    n = edges.count()
+    loaders = loaders or parts * max(1, -(-n // (parts * LOADER_EDGES)))
+    capacity = max(1, n // parts // loaders)
 
     def run(batches):
         now, state = None, None

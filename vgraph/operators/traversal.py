@@ -16,16 +16,20 @@ Message = Callable[[], dict[str, Column]]
 def messages(senders: DataFrame, graph: Graph, message: dict[str, Column], direction: Direction) -> DataFrame:
     """``to`` and the message columns, one row for every edge of a sender in the direction.
 
-    Senders and edges are partitioned alike on the joined end, so neither moves.  Both ways is
-    the union of the two: a self-loop delivers twice.
+    Senders and edges are partitioned alike on the joined end, so neither moves; on a graph
+    with a placement, senders go to the parts that hold edges of theirs.  Both ways is the
+    union of the two: a self-loop delivers twice.
     """
     parts = []
-    if direction in (Direction.OUT, Direction.BOTH):
-        e = graph.by("src")
-        parts.append(senders.join(e, senders["vid"] == e["src"]).select(F.col("dst").alias("to"), *[c.alias(n) for n, c in message.items()]))
-    if direction in (Direction.IN, Direction.BOTH):
-        e = graph.by("dst")
-        parts.append(senders.join(e, senders["vid"] == e["dst"]).select(F.col("src").alias("to"), *[c.alias(n) for n, c in message.items()]))
+    ends = {Direction.OUT: [("src", "dst")], Direction.IN: [("dst", "src")], Direction.BOTH: [("src", "dst"), ("dst", "src")]}[direction]
+    for near, far in ends:
+        e, sending = graph.by(near), senders
+        met = senders["vid"] == e[near]
+        if graph.placement:
+            a = graph.agents(near).select(F.col("vid").alias("_agent"), F.col("part").alias("_part"))
+            sending = senders.join(a, senders["vid"] == a["_agent"])
+            met = (sending["_part"] == e["part"]) & met
+        parts.append(sending.join(e, met).select(F.col(far).alias("to"), *[c.alias(n) for n, c in message.items()]))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

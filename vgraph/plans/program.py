@@ -17,6 +17,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..errors import NotConverged
 from ..graph import Direction, Graph
 from ..operators.traversal import combine, messages
 from ..storage import bucketed, drop
@@ -51,22 +52,32 @@ class VertexProgram:
     direction: Direction = Direction.OUT
     #: Run on the state after each round; what it returns joins the round's metrics.
     on_superstep: Callable[[DataFrame], dict] | None = None
+    #: Aggregates over all vertices after each round, found on the way without a pass of their own; they join the round's metrics.
+    aggregate: dict[str, Column] = field(default_factory=dict)
+    #: Run once on the final state; what it returns is the run's output.
+    output_statistics: Callable[[DataFrame], dict] | None = None
 
 
 @dataclass
 class Run:
-    """What a run leaves: the final state, and a row of metrics for each round."""
+    """What a run leaves: the final state, a row of metrics for each round, whether no vertex was active any more, and what ``output_statistics`` gave.
+
+    Metrics: superstep, active (vertices that send next), messages (sent along edges),
+    combined (vertices that got any), seconds, and what the hooks add.
+    """
 
     state: DataFrame
     metrics: list[dict]
+    converged: bool = True
+    output: dict = field(default_factory=dict)
 
     @property
     def supersteps(self) -> int:
         return len(self.metrics)
 
 
-def run(program: VertexProgram, graph: Graph, sources: DataFrame | None = None, max_supersteps: int | None = None, vertices: DataFrame | None = None) -> Run:
-    """Run rounds until no vertex is active or the cap is reached.
+def run(program: VertexProgram, graph: Graph, sources: DataFrame | None = None, max_supersteps: int | None = None, vertices: DataFrame | None = None, must_converge: bool = False) -> Run:
+    """Run rounds until no vertex is active or the cap is reached; the latter raises NotConverged if ``must_converge``.
 
     Without ``max_supersteps`` a program whose vertices halt has no cap.
     ``sources``: ids (vid) that are active first, whatever ``active`` says; None: all
@@ -89,11 +100,11 @@ def run(program: VertexProgram, graph: Graph, sources: DataFrame | None = None,
         state = state.join(ids, F.col("vid") == F.col("_source"), "left").withColumn("active", F.col("_source").isNotNull()).drop("_source")
     names = [c for c in state.columns if c != "active"]
     n = graph.partitions
-    state, metrics = bucketed(state.repartition(n, "vid"), "vid", n, "state"), []
+    state, metrics, left = bucketed(state.repartition(n, "vid"), "vid", n, "state"), [], 0
     for step in count() if cap is None else range(cap):
         began = time.perf_counter()
         sent = messages(state.where("active"), graph, program.message, program.direction)
-        got = combine(sent, program.combine)
+        got = combine(sent, program.combine | {"_messages": F.count(F.lit(1))})
         joined = state.join(got, state["vid"] == got["to"], "left")
         new = program.apply()
         there = F.col("to").isNotNull()
@@ -101,11 +112,16 @@ def run(program: VertexProgram, graph: Graph, sources: DataFrame | None = None,
         columns = [(F.when(there, new[n]).otherwise(F.col(n)) if n in new else F.col(n)).alias(n) for n in names]
         active = wakes if program.halt else wakes | F.col("active")
         seen = Observation()
-        after = joined.select(*columns, F.coalesce(active, F.lit(False)).alias("active")).observe(seen, F.count_if("active").alias("active"))
+        volume = F.coalesce(F.sum("_messages"), F.lit(0)).alias("messages"), F.count("_messages").alias("combined")
+        after = joined.select(*columns, F.coalesce(active, F.lit(False)).alias("active"), "_messages")
+        after = after.observe(seen, F.count_if("active").alias("active"), *volume, *[c.alias(n) for n, c in program.aggregate.items()]).drop("_messages")
         before, state = state, bucketed(after, "vid", n, "state")
         drop(before)
         left = seen.get["active"]
-        metrics.append({"superstep": step, "active": left, "seconds": time.perf_counter() - began} | (program.on_superstep(state) if program.on_superstep else {}))
+        metrics.append({"superstep": step} | seen.get | {"seconds": time.perf_counter() - began} | (program.on_superstep(state) if program.on_superstep else {}))
         if not left:
             break
-    return Run(state.drop("active"), metrics)
+    if left and must_converge:
+        raise NotConverged(f"{left} vertices are active after {len(metrics)} rounds")
+    state = state.drop("active")
+    return Run(state, metrics, not left, program.output_statistics(state) if program.output_statistics else {})

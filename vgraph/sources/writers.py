@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 
 
+#: Files of a part at most.
+PART_FILES = 16
+
+
 def write_edge_list(edges: DataFrame, path: str) -> None:
     """Text lines "src dst", by Spark's writer, one file for each partition."""
     edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.mode("overwrite").text(path)
@@ -22,8 +26,8 @@ def drop_first_line(spark: SparkSession, path: str, out: str) -> None:
 
 
 def write_parts_table(assigned: DataFrame, path: str) -> None:
-    """A Parquet table of edges by ``part``; readers of one part read its files only."""
-    assigned.repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+    """A Parquet table of edges by ``part``, each written by several tasks; readers of one part read its files only."""
+    assigned.repartition("part", F.pmod(F.xxhash64("src", "dst"), F.lit(PART_FILES))).write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def save_graph(graph: Graph, path: str) -> None:

@@ -7,9 +7,26 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_cleaned: set[str] = set()
+
+
+def _clean_at_end(spark: SparkSession) -> None:
+    """Delete what is written when the program ends, as results may be read until then."""
+    name = spark.sparkContext.applicationId
+    if name not in _cleaned:
+        _cleaned.add(name)
+        atexit.register(_release_quietly, spark)
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except (Py4JError, OSError):  # the JVM has gone first
+        _written.clear()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +55,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _clean_at_end(spark)
     _written.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,8 +69,9 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"vgraph_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{table}"
-    df.write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    _clean_at_end(spark)
     _written.append(path)
+    df.write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
     out = spark.table(table)
     out._vgraph = table, path
     return out
@@ -69,7 +88,7 @@ def drop(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what :func:`materialize` wrote, once no result that reads it is needed."""
+    """Delete what :func:`materialize` and :func:`bucketed` wrote, once no result that reads it is needed; so does the end of the program."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())

@@ -33,6 +33,16 @@ class Components:
         self.forest = materialize(contract(both), "forest")
 
 
-def follow(edges: DataFrame, update: Callable, checkpoint: str):
+class Latest:
+    """The last state of a stream of aggregates, as a table in the shared folder; for ``follow`` in complete mode."""
+
+    def __init__(self):
+        self.table: DataFrame | None = None
+
+    def update(self, batch: DataFrame, _: int = 0) -> None:
+        self.table = materialize(batch, "latest")
+
+
+def follow(edges: DataFrame, update: Callable, checkpoint: str, mode: str = "append"):
     """Start a query that hands each batch to ``update`` and ends when all that is there has been read."""
-    return edges.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return edges.writeStream.outputMode(mode).foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
