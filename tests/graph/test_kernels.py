@@ -95,13 +95,19 @@ def test_paths_longer_than_any_default_cap(spark, monkeypatch):
     assert len(by_vid(paths.sssp(short, paths.roots(short, 0)).state, "dist")) == 7
 
 
-def test_strong_components(spark):
+@pytest.fixture(params=[500_000, 10, 0])
+def local_edges(request, monkeypatch):
+    """How much of a graph one task may finish: all, a little, nothing."""
+    monkeypatch.setattr(components, "LOCAL_EDGES", request.param)
+
+
+def test_strong_components(spark, local_edges):
     edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 4), (6, 6)]
     g = graph(spark, [(a, b, 1) for a, b in edges])
     assert by_vid(components.strong(g), "component") == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
 
 
-def test_strong_components_against_brute_force(spark):
+def test_strong_components_against_brute_force(spark, local_edges):
     rng = random.Random(2)
     for n, m in ((12, 20), (25, 40)):
         edges = [(rng.randrange(n), rng.randrange(n), 1) for _ in range(m)]
@@ -120,7 +126,8 @@ def test_strong_components_are_registered_over_a_whole_graph(spark):
     assert set(by_vid(queries.QUERIES["scc_next"](spark, sf), "component")) == ids
 
 
-def test_strong_components_of_long_cycles(spark):
+def test_strong_components_of_long_cycles(spark, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", 20)
     edges = [(k, (k + 1) % 40, 1) for k in range(40)] + [(100 + k, 100 + (k * 7 + 7) % 91, 1) for k in range(91)]
     got = by_vid(components.strong(graph(spark, edges)), "component")
     assert {got[k] for k in range(40)} == {0}

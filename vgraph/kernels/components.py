@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,26 +94,83 @@ def count(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count_if(F.col("component") == F.col("vid")).alias("components"))
 
 
+#: Edges of a rest that one task finishes by itself.
+LOCAL_EDGES = 500_000
+
+
+def _strong_here(batches):
+    """node, root of all nodes of the edges of one partition: two depth-first passes, the second against the edges."""
+    ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), strict=True)] or [np.zeros(0, np.int64)] * 2
+    ids, flat = np.unique(np.concatenate(ends), return_inverse=True)
+    src, dst = flat[: len(ends[0])], flat[len(ends[0]) :]
+
+    def lists(near, far):
+        order = np.argsort(near, kind="stable")
+        return np.searchsorted(near[order], np.arange(len(ids) + 1)).tolist(), far[order].tolist()
+
+    start, after = lists(src, dst)
+    at, seen, done = list(start[:-1]), bytearray(len(ids)), []
+    for v in range(len(ids)):
+        if seen[v]:
+            continue
+        seen[v], path = 1, [v]
+        while path:
+            x = path[-1]
+            if at[x] < start[x + 1]:
+                y = after[at[x]]
+                at[x] += 1
+                if not seen[y]:
+                    seen[y] = 1
+                    path.append(y)
+            else:
+                done.append(path.pop())
+    start, before = lists(dst, src)
+    root = [-1] * len(ids)
+    for v in reversed(done):
+        if root[v] < 0:
+            root[v], todo, own = v, [v], [v]
+            while todo:
+                x = todo.pop()
+                for y in before[start[x] : start[x + 1]]:
+                    if root[y] < 0:
+                        root[y] = v
+                        todo.append(y)
+                        own.append(y)
+            least = min(own)
+            for y in own:
+                root[y] = least
+    yield pa.record_batch([pa.array(ids), pa.array(ids[np.array(root, np.int64)] if len(ids) else ids)], ["vid", "component"])
+
+
 def strong(graph: Graph) -> DataFrame:
     """vid, component: the smallest id of its strongly connected component, by forward and backward colouring.
 
-    Each turn colours the vertices left with the smallest id that reaches them, then finds
-    what in each colour reaches back to the vertex that gave it; that is one component of
-    every colour.  Vertices without an edge to or from others left are components of their own.
+    Each turn takes off vertices without an edge to or from others left, which are components
+    of their own, layer by layer while that takes many; then it colours the rest with the
+    smallest id that reaches each, and finds what in each colour reaches back to the vertex
+    that gave it: one component of every colour.  What is left with LOCAL_EDGES edges or fewer
+    is finished in one task.
     """
-    left, parts = graph, []
+    left, found = graph.vertices.select("vid"), graph.vertices.sparkSession.createDataFrame([], "vid bigint, component bigint")
+    edges = materialize(graph.edges.select("src", "dst").where("src != dst").distinct(), "scc-edges")
     while True:
-        e = left.edges.where("src != dst")
-        linked = e.select(F.col("src").alias("vid")).intersect(e.select(F.col("dst").alias("vid")))
-        linked = materialize(linked, "linked")
-        parts.append(left.vertices.select("vid").join(linked, "vid", "left_anti").select("vid", F.col("vid").alias("component")))
-        if linked.isEmpty():
-            break
-        e = materialize(e.join(linked.select(F.col("vid").alias("src")), "src", "left_semi").join(linked.select(F.col("vid").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc-edges")
-        now = Graph(linked, e)
+        n = edges.count()
+        while n > LOCAL_EDGES:
+            both = edges.select(F.col("src").alias("vid")).intersect(edges.select(F.col("dst").alias("vid")))
+            linked = materialize(both, "linked")
+            fewer = materialize(_between(edges, linked), "scc-edges")
+            found = found.unionByName(left.join(linked, "vid", "left_anti").select("vid", F.col("vid").alias("component")))
+            left, edges, before, n = linked, fewer, n, fewer.count()
+            if n > 0.9 * before:
+                break
+        if n <= LOCAL_EDGES:
+            here = materialize(edges.coalesce(1).mapInArrow(_strong_here, "vid bigint, component bigint"), "strong")
+            alone = left.join(here.select("vid"), "vid", "left_anti").select("vid", F.col("vid").alias("component"))
+            return materialize(found.unionByName(here).unionByName(alone), "strong")
+        now = Graph(left, edges)
         colours = materialize(min_label(now, Direction.OUT).state, "colours")
         a, b = colours.select(F.col("vid").alias("src"), F.col("component").alias("a")), colours.select(F.col("vid").alias("dst"), F.col("component").alias("b"))
-        same = Graph(linked, e.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
+        same = Graph(left, edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
         reach = VertexProgram(
             state={"found": F.col("component") == F.col("vid")},
             message={"m": F.lit(1)},
@@ -122,12 +180,13 @@ def strong(graph: Graph) -> DataFrame:
             active=F.col("component") == F.col("vid"),
             direction=Direction.IN,
         )
-        found = materialize(run(reach, same, vertices=colours).state.where("found").select("vid", "component"), "found")
-        parts.append(found)
+        done = run(reach, same, vertices=colours).state.where("found").select("vid", "component")
+        found = materialize(found.unionByName(done), "found")
         now.unpersist(), same.unpersist()
-        rest = materialize(linked.join(found, "vid", "left_anti"), "rest")
-        left = Graph(rest, e.join(rest.select(F.col("vid").alias("src")), "src", "left_semi").join(rest.select(F.col("vid").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        left = materialize(left.join(found, "vid", "left_anti"), "rest")
+        edges = materialize(_between(edges, left), "scc-edges")
+
+
+def _between(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The edges both of whose ends are among the vertices."""
+    return edges.join(vertices.select(F.col("vid").alias("src")), "src", "left_semi").join(vertices.select(F.col("vid").alias("dst")), "dst", "left_semi").select("src", "dst")
