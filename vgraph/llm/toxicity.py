@@ -173,15 +173,20 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     hashed = texts.select("id", "h").join(F.broadcast(own) if small else own, "id")
     train = hashed.groupBy("h").agg(F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y"))
     sample = materialize(train.orderBy(F.xxhash64("id"), "id", "h").limit(examples), "examples")
-    words = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType())]))
+    words = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
     @F.arrow_udf(words)
     def count(column: pa.Array) -> pa.Array:
-        return pa.array([[{"word": w, "n": n} for w, n in word_counts(t.as_py()).items()] for t in column], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))
-
-    rows = texts.join(F.broadcast(sample), ["id", "h"]).select("id", "h", "y", count("text").alias("words")).collect()
-    rows = sorted({(r.id, r.h): r for r in rows}.values(), key=lambda r: (r.id, r.h))
-    return Model([r.id for r in rows], [Counter({x.word: x.n for x in r.words}) for r in rows], np.array([r.y for r in rows], float), docs.schema[id_col].dataType)
+        found = [word_counts(t.as_py()) for t in column]
+        return pa.StructArray.from_arrays([pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["words", "counts"])
+
+    found = texts.join(F.broadcast(sample), ["id", "h"]).select("id", "h", "y", count("text").alias("c")).select("id", "h", "y", "c.*").toArrow()
+    at = {(i, h): k for k, (i, h) in enumerate(zip(found.column("id").to_pylist(), found.column("h").to_pylist(), strict=True))}
+    order = [at[key] for key in sorted(at)]
+    ids, labelled = ([found.column(n)[k].as_py() for k in order] for n in ("id", "y"))
+    counts = [Counter(dict(zip(found.column("words")[k].as_py(), found.column("counts")[k].as_py(), strict=True))) for k in order]
+    del found
+    return Model(ids, counts, np.array(labelled, float), docs.schema[id_col].dataType)
 
 
 def _ratio(p: int, n: int, p_all: int, n_all: int) -> float:
