@@ -41,46 +41,54 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _ranked(tokenizer):
-    """The same encoding as merge ranks, several times faster, if the tokenizer is plain byte-level BPE whose ids ascend with its merges; else None."""
-    import public_tokenizers
-    import tiktoken
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
+
+
+def ranks_of(path: str) -> tuple[dict[bytes, int] | None, list[str]]:
+    """Of a tokenizer's file: the same encoding as merge ranks, several times faster, if it is plain byte-level BPE whose ids ascend with its merges, else None; and its special tokens.
+
+    The file takes some 100 MB while it is read, so the driver reads it for all tasks.
+    """
+    tokenizer = _library(path)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     setup = json.loads(tokenizer.to_str())
     model, split = setup["model"], setup["pre_tokenizer"] or {}
     plain = model["type"] == "BPE" and not model.get("dropout") and setup["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
     if not plain:
-        return None
+        return None, special
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     merged = [model["vocab"][a + b] for a, b in pairs]
     if any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
-        return None
+        return None, special
     added, byte = {t["content"] for t in setup["added_tokens"]}, _byte_of()
-    ranks = {bytes(byte[c] for c in token): k for token, k in model["vocab"].items() if token not in added}
-    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return {bytes(byte[c] for c in token): k for token, k in model["vocab"].items() if token not in added}, special
 
 
 class Encoder:
     """Token ids of texts, as the tokenizers library gives them for a file, as little-endian unsigned 32-bit bytes.
 
     Texts without a special token's string and very long white space go through the equal
-    merge ranks where there are such; tests hold the two against each other.
+    merge ranks where there are such; tests hold the two against each other.  ``known``: what
+    :func:`ranks_of` gives for the file.
     """
 
-    def __init__(self, path: str, end_id: int):
-        self.path, self.end, self._tokenizer = path, end_id, None
-        self.ranked = _ranked(self.tokenizer)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if self.ranked is not None:
-            self._tokenizer = None  # some 50 MB that few texts need; read again for the first of them
+    def __init__(self, path: str, end_id: int, known: tuple[dict[bytes, int] | None, list[str]] | None = None):
+        self.path, self.end, self._tokenizer, self.ranked = path, end_id, None, None
+        ranks, self.special = known or ranks_of(path)
+        if ranks is not None:
+            import public_tokenizers
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @property
     def tokenizer(self):
-        if self._tokenizer is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self._tokenizer = Tokenizer.from_file(self.path)
+        if self._tokenizer is None:  # some 50 MB that few texts need; read for the first of them
+            self._tokenizer = _library(self.path)
         return self._tokenizer
 
     def __call__(self, text: str | None) -> bytes:
@@ -96,14 +104,14 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def pieces_of(text: Column, tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> Column:
-    """An array with piece, start, length, ids_crc32 (and ids) for each piece of the tokenised text."""
+def pieces_of(text: Column, known, tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> Column:
+    """An array with piece, start, length, ids_crc32 (and ids) for each piece of the tokenised text. ``known``: a broadcast of :func:`ranks_of`."""
     fields = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())] + [("ids", T.BinaryType())] * with_ids
     kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids))
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(*f) for f in fields])))
     def cut(texts: pa.Array) -> pa.Array:
-        encode = _encoders.get((tokenizer, end_id)) or _encoders.setdefault((tokenizer, end_id), Encoder(tokenizer, end_id))
+        encode = _encoders.get((tokenizer, end_id)) or _encoders.setdefault((tokenizer, end_id), Encoder(tokenizer, end_id, known.value))
         out = []
         for text in texts:
             ids = encode(text.as_py())
@@ -328,7 +336,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     one character too.  Other columns of ``docs`` are not read.
     """
     spark = small_batches(docs)
-    cut = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(pieces_of(F.col(f"`{text_col}`"), tokenizer, end_id, capacity, with_ids)).alias("p"))
+    known = spark.sparkContext.broadcast(ranks_of(tokenizer))
+    cut = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(pieces_of(F.col(f"`{text_col}`"), known, tokenizer, end_id, capacity, with_ids)).alias("p"))
     pieces = materialize(cut.select("id", "p.*", F.monotonically_increasing_id().alias("row")), "pieces")
     part = pieces.select("id", "piece", "start", "length", "ids_crc32", "row").where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(RANK_BUCKETS)))
     groups = materialize(part.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")

@@ -46,15 +46,16 @@ class BlockMaxIndex:
         term = np.concatenate([vectors[d][0] for d in self.order] + [np.zeros(0)]).astype(np.int64)
         impact = np.concatenate([vectors[d][1] for d in self.order] + [np.zeros(0)])
         by_term = np.lexsort((at, term))
-        self.docs, self.impacts, term = at[by_term], impact[by_term], term[by_term]
+        self.docs, self.impacts, term = at[by_term].astype(np.int32), impact[by_term], term[by_term]
         self.blocks = max(1, -(-len(vectors) // BLOCK))
         # a chunk is a term's postings within a block
         name = term * self.blocks + self.docs // BLOCK
         heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
-        self.start, self.size = heads, np.diff(np.r_[heads, len(name)])
+        self.start = np.r_[heads, len(name)].astype(np.int32)
         self.block = self.docs[heads] // BLOCK
-        self.most = np.maximum.reduceat(self.impacts, heads) if len(heads) else np.zeros(0)
-        self.chunks = np.searchsorted(term[heads], np.arange(n_terms + 1))
+        most = np.maximum.reduceat(self.impacts, heads) if len(heads) else np.zeros(0)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2))  # rounded up, as it is a bound
+        self.chunks = np.searchsorted(term[heads], np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest cosine above zero, ties by place, and their cosines.
@@ -73,8 +74,7 @@ class BlockMaxIndex:
             now = np.zeros(self.blocks, bool)
             now[todo[first : first + step]] = True
             own = np.flatnonzero(now[self.block[chunk]])
-            start = self.start[chunk[own]]
-            rows, n = _ranges(start, start + self.size[chunk[own]])
+            rows, n = _ranges(self.start[chunk[own]], self.start[chunk[own] + 1])
             sums = np.bincount(self.docs[rows], np.repeat(weight[own], n) * self.impacts[rows], self.blocks * BLOCK)
             hit = np.flatnonzero(sums)
             docs, scores = np.concatenate([best, hit]), np.concatenate([score, sums[hit]])
@@ -92,7 +92,7 @@ class BlockMaxIndex:
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges one after another, and how many each has."""
-    n = end - start
+    n = (end - start).astype(np.int64)
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
