@@ -38,7 +38,7 @@ ROUNDS = 6
 SMOOTHING = 5.0
 #: Tokens that a task of the word exchange is laid out for.
 RANGE_TOKENS = 4_000_000
-SYMBOLS, _BLOCK = 1 + HEAD + ENDINGS, 512
+SYMBOLS, _BLOCK = 1 + HEAD + ENDINGS, 2048
 
 
 def ending(word: bytes) -> int:
@@ -127,7 +127,9 @@ class Spelling:
         for n in range(1, _WINDOW):
             p = mixed(counts.reshape(-1, *(_LETTERS,) * n).sum(axis=0, dtype=np.float64), p)
         # the longest windows by their first symbols, as the whole table takes much of a driver
-        self.logs = np.concatenate([np.log10(mixed(c, p)).astype(np.float32).ravel() for c in counts.reshape(_LETTERS, *p.shape)])
+        self.logs = np.empty(_LETTERS**_WINDOW, np.float32)
+        for logs, c in zip(self.logs.reshape(_LETTERS, *p.shape), counts.reshape(_LETTERS, *p.shape), strict=True):
+            logs[:] = np.log10(mixed(c, p))
 
     @staticmethod
     def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -448,9 +450,9 @@ def _learn(source: DataFrame) -> tuple[DataFrame, DataFrame, Model | None, dict]
     often = np.array(sorted(((r.n, r.words) for r in vocabulary.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True), np.int64).reshape(-1, 2)
     fit = int(np.searchsorted(np.cumsum(often[:, 1]), KNOWN, side="right"))
     cut = int(often[fit, 0]) if fit < len(often) else 0
-    top = vocabulary.where(F.col("n") > cut).select("n", "word").collect()
-    top.sort(key=lambda r: (-r.n, r.word))
-    words, counts = [bytes(r.word) for r in top], np.array([r.n for r in top], float)
+    order = (F.desc("n"), "word")
+    top = vocabulary.where(F.col("n") > cut).orderBy(*order).toArrow()
+    words, counts = top.column("word").to_pylist(), top.column("n").to_numpy().astype(float)
     del top
     head, rest = min(HEAD, len(words)), vocabulary.where(F.lit(False))
     if not head:
@@ -484,9 +486,8 @@ def _learn(source: DataFrame) -> tuple[DataFrame, DataFrame, Model | None, dict]
         for r in far.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():
             mass[r["class"]] += r.n
             types[r["class"]] += r.types
-        near = {bytes(r.word): r["class"] for r in far.where(F.col("n") > cut).select("word", "class").collect()} if len(words) > head else {}
-        for c, w in enumerate(words, 1):
-            of_code[c] = near.get(w, of_code[c])
+        if len(words) > head:
+            of_code[1 + head : 1 + len(words)] = far.where(F.col("n") > cut).orderBy(*order).toArrow().column("class").to_numpy()
     # texts as classes: those of codes, and for words beyond the lexicon those that the join finds
     tail = encoded.select("row", F.explode("tail").alias("t")).select("row", "t.*").join(far.withColumnRenamed("n", "c"), "word", "left")
     there = F.col("c").isNotNull()
