@@ -1,6 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each a call of one operator.
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents, other
+columns with them, whatever their names.  Every stage reads whole texts, however long, takes a null
+text as empty, and gives no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -17,29 +19,36 @@ from vgraph.llm.simhash import drop_near_duplicates
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the training fold of the labels, predicts as toxic go."""
+    """Documents that the model, fitted on the training fold of the labels, predicts as toxic go.
+
+    Repeated rows and ties are judged by their texts alone; rows with a null id stay or go likewise;
+    without labels all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(tox.fold() != 0)
     scored = tox.score(docs, tox.fit(docs, labels))
     return scored.where("predicted = 0").select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays."""
+    """Of equal texts the longest original stays, of these the smallest id, null last; of fully equal rows one."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
+    """One document of each group of linked fingerprints stays, that with the smallest id; rows with a null id stay."""
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh 3, 1, 2 in turn and share 150% of all words, at most two epochs each."""
+    """Sources weigh 3, 1, 2 in turn and share 150% of all words, at most two epochs each.
+
+    A null source is one of its own; rows equal in id and size are taken alike.
+    """
     return mixed(docs, (3, 1, 2), 1.5, 2.0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all token pieces in sequences of 1024."""
+    """Places of all token pieces in sequences of 1024; every row, repeated ones and null ids too, is a document."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
