@@ -15,7 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vgraph.llm import brown, exact_dedup, mixing, packing, simhash, toxicity
+from tests.llm.test_near_text import near_classes
+from vgraph.llm import brown, exact_dedup, mixing, packing, toxicity
 from vgraph.llm import queries as registered
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -380,17 +381,7 @@ def test_pipeline_against_brute_force(spark):
             assert sorted(r.doc_id for r in rows) == sorted(i for _, i in best.values())
         elif name == "SimHash near-dedup":
             texts = sorted((r.doc_id, r.text) for r in before)
-            prints = [simhash.simhash(t) for _, t in texts]
-            parent = list(range(len(texts)))
-            for i in range(len(texts)):
-                for j in range(i):
-                    if (prints[i] ^ prints[j]).bit_count() <= 2:
-                        a, b = i, j
-                        while parent[a] != a:
-                            a = parent[a]
-                        while parent[b] != b:
-                            b = parent[b]
-                        parent[max(a, b)] = min(a, b)
+            parent = near_classes([t for _, t in texts])
             assert sorted(r.doc_id for r in rows) == [texts[k][0] for k in range(len(texts)) if parent[k] == k]
         else:
             times = {r.doc_id: r.copies for r in mixing.mix(now, (3, 1, 2), 1.5).collect()}

@@ -56,9 +56,9 @@ def fingerprint_udf(width: int):
 
 
 def joint_keys(bits: int) -> list[tuple[int, ...]]:
-    """Sets of four byte positions such that any ``bits`` spoiled positions leave one set whole."""
+    """Sets of four byte positions, fewer if fewer are shared for sure, such that any ``bits`` spoiled positions leave one set whole."""
     left, chosen = set(combinations(range(8), bits)), []
-    blocks = list(combinations(range(8), 4))
+    blocks = list(combinations(range(8), min(4, 8 - bits)))
     while left:
         best = max(blocks, key=lambda b: sum(not set(b) & set(s) for s in left))
         chosen.append(best)
@@ -66,7 +66,8 @@ def joint_keys(bits: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def _mask(positions) -> int:
+def mask(positions) -> int:
+    """The bits of these byte positions, as a signed long."""
     m = sum(0xFF << (8 * p) for p in positions)
     return m - (1 << 64) if m >> 63 else m
 
@@ -81,13 +82,13 @@ def links(fingerprints: DataFrame) -> DataFrame:
     """
     bits = 2
     least = 8 - bits
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("bytes")) for k, p in enumerate(joint_keys(bits))])
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask(p))).alias("bytes")) for k, p in enumerate(joint_keys(bits))])
     postings = fingerprints.select("fp", F.explode(keys).alias("key")).select("fp", "key.k", "key.bytes")
     lists = materialize(postings.groupBy("k", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     short = postings.join(lists.where(F.col("n") <= PAIRED_LIST).select("k", "bytes"), ["k", "bytes"], "left_semi")
     pairs = short.select("k", "bytes", F.col("fp").alias("a")).join(short.select("k", "bytes", F.col("fp").alias("b")), ["k", "bytes"]).where("a < b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    shared = reduce(lambda x, y: x + y, [(differ.bitwiseAND(F.lit(_mask([p]))) == 0).cast("int") for p in range(8)])
+    shared = reduce(lambda x, y: x + y, [(differ.bitwiseAND(F.lit(mask([p]))) == 0).cast("int") for p in range(8)])
     paired = pairs.select("a", "b", shared.alias("tally"), F.bit_count(differ).alias("bits")).where((F.col("tally") >= least) & (F.col("bits") <= bits)).select("a", "b")
     long = lists.where(F.col("n") > PAIRED_LIST).select("k", "bytes")
     if long.isEmpty():
