@@ -14,8 +14,8 @@ from vgraph.llm import toxicity as tox
 from vgraph.llm.common import materialize
 from vgraph.llm.exact_dedup import drop_exact_duplicates
 from vgraph.llm.mixing import mixed
+from vgraph.llm.near_text import drop_near_texts
 from vgraph.llm.packing import pack
-from vgraph.llm.simhash import drop_near_duplicates
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that with the smallest id; rows with a null id stay."""
-    return drop_near_duplicates(docs)
+    """One document of each group of texts linked by five-word shingles at 0.8 stays, that with the smallest id; rows with a null id stay."""
+    return drop_near_texts(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
