@@ -14,6 +14,7 @@ Jaccard similarity of at least the wanted one.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels.components import contract
+from ..storage import bucketed
 from .common import fits, materialize, small_batches, without
-from .simhash import PAIRED_LIST, joint_keys, mask
+from .simhash import PAIRED_LIST, joint_keys
 
 #: Differing bits of one of the two prints up to which texts are candidates.
 BITS = 5
@@ -116,11 +118,14 @@ def near_text_links(known: DataFrame, docs: DataFrame, text_col: str, width: int
     copies costs what it has texts; only one of many texts that are unlike but have near
     prints makes more pairs, which are dropped by their prints inside the join.
     """
-    masks = F.array(*[F.lit(mask(p)) for p in joint_keys(BITS)])
-    posted = known.select("node", F.posexplode("prints").alias("p", "fp")).select("node", "fp", "p", F.posexplode(masks).alias("q", "mask"))
-    posted = posted.select("node", "fp", F.xxhash64("p", "q", F.col("fp").bitwiseAND(F.col("mask"))).alias("list"))
+    keys = joint_keys(BITS)
+    shifts = F.array(*[F.array(*[F.lit(8 * b) for b in p]) for p in keys])
+    posted = known.select("node", F.posexplode("prints").alias("p", "fp")).select("node", "fp", "p", F.posexplode(shifts).alias("q", "at"))
+    name = reduce(lambda x, k: x * 256 + F.expr(f"shiftright(fp, at[{k}]) & 255"), range(len(keys[0])), F.col("p").cast("long") * len(keys) + F.col("q"))
+    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = posted.select("node", "fp", name.alias("list")).repartition(n, "list")
     lists = posted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("list"))).where("n > 1")
-    lists = materialize(lists, "lists")
+    lists = bucketed(lists, "list", n, "lists")  # the joins of lists move nothing
     short, long = lists.where(F.col("n") <= PAIRED_LIST).drop("n"), lists.where(F.col("n") > PAIRED_LIST).drop("n")
     heads = long.groupBy("list").agg(F.min(F.struct("node", "fp")).alias("h")).select("list", "h.node", "h.fp")
     later = F.col("node1") < F.col("node2")
