@@ -65,6 +65,17 @@ def test_drop_exact_duplicates_keeps_columns_and_one_row_a_group(spark):
     assert exact_dedup.exact_duplicates(none).count() == exact_dedup.drop_exact_duplicates(none).count() == 0
 
 
+def test_no_task_digests_its_texts_twice(spark, monkeypatch):
+    """A second evaluation takes a second Python worker beside each task, which stays for the rest of the program."""
+    ran = []
+    evaluations = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, name, f=exact_dedup.materialize: (ran.append((name, evaluations(df))), f(df, name))[1])
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (2, "ab"), (2, "d"), (3, None), (4, "")], "doc_id bigint, text string")
+    kept = exact_dedup.drop_exact_duplicates(df)
+    assert {n: k for n, k in ran if k} == {"digests": 1, "groups": 1} and evaluations(kept) == 1
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "a b", "c", "d"]
+
+
 def test_verification_beyond_the_broadcast_bound(spark, monkeypatch):
     want = sorted(map(str, exact_dedup.exact_duplicates(messy(spark)).collect()))
     monkeypatch.setattr(exact_dedup, "BROADCAST_FINGERPRINTS", 0)

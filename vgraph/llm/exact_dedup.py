@@ -129,6 +129,10 @@ def _digest(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(sha, pa.string()), pa.array(points, pa.int64())], ["fp", "sha", "points"])
 
 
+# marked so that no filter on its result is moved below it: the filter would digest all texts again, in a second worker of the same task
+_digest = _digest.asNondeterministic()
+
+
 def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     """Of a DataFrame with one long column ``fp``, those found more than once: fp, n.
 
