@@ -28,6 +28,8 @@ class Graph:
     def __init__(self, vertices: DataFrame, edges: DataFrame, placement: bool = False):
         """``placement``: edges have a column ``part``, and traversals run on the parts (see :meth:`placed`)."""
         self.vertices, self.edges, self.placement = vertices, edges, placement
+        #: Where vertices are all of 0 to n - 1, this n.
+        self.dense: int | None = None
         self._laid_out: dict[str, DataFrame] = {}
 
     @property
@@ -40,7 +42,9 @@ class Graph:
         if n_vertices is None:
             largest = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
             n_vertices = 0 if largest is None else largest + 1
-        return cls(edges.sparkSession.range(n_vertices).withColumnRenamed("id", "vid"), edges)
+        out = cls(edges.sparkSession.range(n_vertices).withColumnRenamed("id", "vid"), edges)
+        out.dense = n_vertices
+        return out
 
     @classmethod
     def from_names(cls, edges: DataFrame) -> tuple[Graph, DataFrame]:
@@ -80,14 +84,20 @@ class Graph:
     def partitions(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def own(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of ``df`` whose column is a vertex."""
+        if self.dense is not None:
+            return df.where((F.col(column) >= 0) & (F.col(column) < self.dense))
+        return df.join(self.vertices.select(F.col("vid").alias("_own")), F.col(column) == F.col("_own"), "left_semi")
+
     def by(self, end: str) -> DataFrame:
-        """The edges partitioned by ``src`` or ``dst`` and kept so: later joins on that end move no edge again.
+        """The edges partitioned by ``src`` or ``dst``, sorted by it and kept so: later joins on that end neither move nor sort an edge again.
 
         Kept blocks that are lost with an executor are computed again from the edges.
         """
         if end not in self._laid_out:
             keys = ["part", end] if self.placement else [end]
-            self._laid_out[end] = self.edges.repartition(self.partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+            self._laid_out[end] = self.edges.repartition(self.partitions, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
         return self._laid_out[end]
 
     def agents(self, end: str) -> DataFrame:

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from ..graph import Direction, Graph
 from ..plans.program import Run, VertexProgram, run
-from .paths import _start
+from ..plans.search import search
 
 
 def forward(graph: Graph, sources: DataFrame, max_supersteps: int | None = None) -> Run:
     """vid, level, paths of reached vertices: how many shortest ways there are, parallel edges counted each."""
     new = F.col("level").isNull()
     program = VertexProgram(
-        state={"level": F.when(F.col("_root"), 0).cast("bigint"), "paths": F.when(F.col("_root"), 1).otherwise(0).cast("bigint")},
+        state={"level": F.when(F.col("_root"), 0).cast("bigint"), "paths": F.when(F.col("_root"), 1).cast("bigint")},
         message={"m_level": F.col("level") + 1, "m_paths": F.col("paths")},
         combine={"c_level": F.min("m_level"), "c_paths": F.sum("m_paths")},
         apply=lambda: {"level": F.when(new, F.col("c_level")).otherwise(F.col("level")), "paths": F.when(new, F.col("c_paths")).otherwise(F.col("paths"))},
         activate=new,
     )
-    out = run(program, graph, sources, max_supersteps, _start(graph, sources))
+    out = search(program, graph, sources, max_supersteps)
     return Run(out.state.where("level is not null").select("vid", "level", "paths"), out.metrics)
 
 

@@ -6,18 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Direction, Graph
-from ..plans.program import Run, VertexProgram, run
+from ..plans.program import Run, VertexProgram
+from ..plans.search import search
 
 
 def roots(graph: Graph, *ids: int) -> DataFrame:
     return graph.spark.createDataFrame([(i,) for i in ids], "vid bigint")
 
 
-def _start(graph: Graph, sources: DataFrame) -> DataFrame:
-    s = sources.select(F.col("vid").alias("_s")).distinct()
-    return graph.vertices.join(s, F.col("vid") == F.col("_s"), "left").withColumn("_root", F.col("_s").isNotNull()).drop("_s")
-
-
 def bfs(graph: Graph, sources: DataFrame, direction: Direction = Direction.OUT, max_supersteps: int | None = None) -> Run:
     """vid, level, label (the smallest root that reaches it in as many steps), parent (the smallest neighbour one level nearer)."""
     program = VertexProgram(
@@ -29,7 +25,7 @@ def bfs(graph: Graph, sources: DataFrame, direction: Direction = Direction.OUT,
         activate=F.col("level").isNull(),
         direction=direction,
     )
-    out = run(program, graph, sources, max_supersteps, _start(graph, sources))
+    out = search(program, graph, sources, max_supersteps)
     return Run(out.state.where("level is not null").select("vid", "level", "label", "parent"), out.metrics, out.converged)
 
 
@@ -55,5 +51,5 @@ def sssp(graph: Graph, sources: DataFrame, weight: str | None = "w", direction:
         activate=better,
         direction=direction,
     )
-    out = run(program, graph, sources, max_supersteps, _start(graph, sources))
+    out = search(program, graph, sources, max_supersteps)
     return Run(out.state.where("dist is not null").select("vid", "dist", "pred"), out.metrics, out.converged)

@@ -13,6 +13,11 @@ from ..graph import Direction, Graph
 Message = Callable[[], dict[str, Column]]
 
 
+def ends(direction: Direction) -> list[tuple[str, str]]:
+    """The near and the far end of edges that carry messages: once one way, twice both ways."""
+    return {Direction.OUT: [("src", "dst")], Direction.IN: [("dst", "src")], Direction.BOTH: [("src", "dst"), ("dst", "src")]}[direction]
+
+
 def messages(senders: DataFrame, graph: Graph, message: dict[str, Column], direction: Direction) -> DataFrame:
     """``to`` and the message columns, one row for every edge of a sender in the direction.
 
@@ -21,8 +26,7 @@ def messages(senders: DataFrame, graph: Graph, message: dict[str, Column], direc
     union of the two: a self-loop delivers twice.
     """
     parts = []
-    ends = {Direction.OUT: [("src", "dst")], Direction.IN: [("dst", "src")], Direction.BOTH: [("src", "dst"), ("dst", "src")]}[direction]
-    for near, far in ends:
+    for near, far in ends(direction):
         e, sending = graph.by(near), senders
         met = senders["vid"] == e[near]
         if graph.placement:
