@@ -12,12 +12,8 @@ from ..plans.program import Run, VertexProgram, run
 from ..storage import materialize
 
 
-#: Nodes of which a task knows at once; its forest of more edges comes out in parts.
-FOREST_NODES = 500_000
-
-
-def _forest(batches):
-    """The edges of a partition as stars around their smallest reachable node."""
+def _roots(batches):
+    """node, root for every node of the edges of a partition whose smallest reachable node is another."""
     parent: dict[int, int] = {}
 
     def find(x):
@@ -26,43 +22,43 @@ def _forest(batches):
             x = parent[x]
         return x
 
-    def stars():
-        own = [(x, find(x)) for x in parent if find(x) != x]
-        parent.clear()
-        return pa.record_batch([pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64())], ["u", "v"])
-
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > FOREST_NODES:
-            yield stars()
-    yield stars()
+    own = [(x, find(x)) for x in parent if find(x) != x]
+    yield pa.record_batch([pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64())], ["node", "root"])
 
 
 def contract(edges: DataFrame) -> DataFrame:
     """``edges``: two long columns.  Returns node, root for every node of an edge whose smallest reachable node, root, is another.
 
-    Partitions first contract their own edges; then alternating large-star and small-star
-    rounds keep the components and move every node nearer to its smallest one, until no
-    round changes an edge (a logarithmic number in practice, whatever the diameter).
+    A round moves every node to its least neighbour, or leaves it where it is less itself, and
+    keeps the distinct edges between where their ends are now.  Ids are compared in the first
+    round, which empties stars around small ids, and hashes with another salt in each later
+    one; by these a constant share of the nodes goes in a round, so that all rounds together
+    move a few times the edges.  Rests of LOCAL_EDGES edges are finished in one task.
     """
     a, b = (F.col(f"`{c}`") for c in edges.columns)
-    now = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).mapInArrow(_forest, "u bigint, v bigint")
-    now, before = materialize(now.distinct(), "edges"), None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    u, v = F.col("u"), F.col("v")
+    now, hops = materialize(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "edges"), []
+    while now.count() > LOCAL_EDGES:
+        rank = (lambda x, salt=len(hops): F.struct(F.xxhash64(x, F.lit(salt)).alias("h"), x.alias("x"))) if hops else (lambda x: F.struct(x.alias("x")))
+        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
+        hop = both.groupBy("u").agg(F.min(rank(v)).alias("best")).select(u.alias("node"), F.least("best", rank(u))["x"].alias("next"))
+        hops.append(hop := materialize(hop, "hop"))
+        ends = [hop.select(F.col("node").alias(c), F.col("next").alias(f"{c}_next")) for c in "uv"]
+        moved = now.join(ends[0], "u").join(ends[1], "v").where("u_next != v_next")
+        now = materialize(moved.select(F.greatest("u_next", "v_next").alias("u"), F.least("u_next", "v_next").alias("v")).distinct(), "edges")
+    roots = materialize(now.coalesce(1).mapInArrow(_roots, "node bigint, root bigint"), "roots")
+    if not hops:
+        return roots
+    for hop in reversed(hops):
+        roots = hop.join(roots.select(F.col("node").alias("next"), "root"), "next", "left").select("node", F.coalesce("root", "next").alias("root"))
+    roots = materialize(roots, "roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    return roots.join(least, "root").where("node != least").select("node", F.col("least").alias("root"))
 
 
 def weak(graph: Graph) -> DataFrame:
