@@ -136,6 +136,23 @@ def test_partition_rules():
     assert {z.place(a, b) for a, b in ((0, 1), (2, 3))} == {0, 1}  # balance alone decides
 
 
+def test_loaders_have_tasks_of_their_own_and_place_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(k, k % 7) for k in range(160)], "src bigint, dst bigint")
+    counted = df.mapInArrow(lambda bs: ((seen.add(b.num_rows), b)[1] for b in bs), df.schema)
+    placed = P.partition_edges(counted, "ldg", 16)
+    before = seen.value
+    assert P.metrics(placed, 16).first().edges == 160 and seen.value == before
+    per_task = placed.groupBy(F.input_file_name(), F.pmod("src", F.lit(16))).count().groupBy("input_file_name()").count()
+    assert [r["count"] for r in per_task.collect()] == [1] * 16
+    # what a loader keeps does not grow with the sources it is done with
+    x = P.chooser("plain", 4)
+    for k in range(100):
+        x.place(k, 1)
+        x.leave(k)
+    assert not x.sources and len(x.targets) == 1
+
+
 def test_partition_metrics(spark):
     a = spark.createDataFrame([(0, 1, 0), (0, 1, 1), (2, 1, 0)], "src bigint, dst bigint, part int")
     m = P.metrics(a, 2).first()

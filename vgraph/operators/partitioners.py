@@ -7,25 +7,26 @@ a loader is a stream within one task, and there may be as many as the cluster ha
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 #: Scores this near the best count as equal; among equals (src + dst) picks in turn.
 TIE = 1e-4
 
 
 class Loader:
-    """Edge counts of the parts, and on which parts each endpoint already is."""
+    """Edge counts of the parts, and on which parts each endpoint already is: a bit for each part."""
 
     def __init__(self, parts: int, score: Callable, shared: bool = False, shortcut: bool = False):
-        self.parts, self.score, self.shortcut = parts, score, shortcut
+        self.parts, self.score, self.shared, self.shortcut = parts, score, shared, shortcut
         self.counts = [0] * parts
-        self.sources: dict[int, set[int]] = defaultdict(set)
-        self.targets = self.sources if shared else defaultdict(set)
+        self.sources: dict[int, int] = {}
+        self.targets = self.sources if shared else {}
 
     def place(self, src: int, dst: int) -> int:
         if self.shortcut and src % self.parts == dst % self.parts:
@@ -36,22 +37,25 @@ class Loader:
             equal = [i for i, s in enumerate(scores) if most - s < TIE]
             best = equal[(src + dst) % len(equal)]
         self.counts[best] += 1
-        self.sources[src].add(best)
-        self.targets[dst].add(best)
+        self.sources[src] = self.sources.get(src, 0) | 1 << best
+        self.targets[dst] = self.targets.get(dst, 0) | 1 << best
         return best
 
+    def leave(self, src: int) -> None:
+        """Forget the source, which comes no more."""
+        if not self.shared:
+            self.sources.pop(src, None)
+
 
 def _product(balance: Callable) -> Callable:
     """Affinity times balance.  A part that has the source counts one, target or not; others half
     for owning the source, plus one for having the target or else half for owning it."""
 
     def score(x: Loader, src: int, dst: int) -> list[float]:
-        out = list(balance(x))
-        has_source, has_target = x.sources[src], x.targets[dst]
+        out, s, d, own_s, own_d = balance(x), x.sources.get(src, 0), x.targets.get(dst, 0), src % x.parts, dst % x.parts
         for i in range(x.parts):
-            if i not in has_source:
-                target = 1.0 if i in has_target else 0.5 * (dst % x.parts == i)
-                out[i] *= target + 0.5 * (src % x.parts == i)
+            if not s >> i & 1:
+                out[i] *= (1.0 if d >> i & 1 else 0.5 * (own_d == i)) + 0.5 * (own_s == i)
         return out
 
     return score
@@ -59,9 +63,14 @@ def _product(balance: Callable) -> Callable:
 
 def _sum(home: float) -> Callable:
     def score(x: Loader, src: int, dst: int) -> list[float]:
-        s, d, p, most = x.sources[src], x.targets[dst], x.parts, max(x.counts)
-        base = 1 + most - min(x.counts)
-        return [(most - n) / base + (i in s) + home * (src % p == i) + (i in d) + home * (dst % p == i) for i, n in enumerate(x.counts)]
+        s, d, counts = x.sources.get(src, 0), x.targets.get(dst, 0), x.counts
+        most = max(counts)
+        base = 1 + most - min(counts)
+        out = [(most - n) / base + (s >> i & 1) + (d >> i & 1) for i, n in enumerate(counts)]
+        if home:
+            out[src % x.parts] += home
+            out[dst % x.parts] += home
+        return out
 
     return score
 
@@ -99,23 +108,30 @@ def partition_edges(edges: DataFrame, kind: str, parts: int, loaders: int | None
     """src, dst, part.  A loader takes the edges of sources with one remainder, in order of src and dst.
 
     By default there are as many loaders as parts, or as many times more as LOADER_EDGES asks for.
+    Each has a task to itself, which keeps the parts of the targets it has met, and of sources
+    too for ``edge1`` only, as edges come by source.  Places are found once and written.
     """
     n = edges.count()
     loaders = loaders or parts * max(1, -(-n // (parts * LOADER_EDGES)))
     capacity = max(1, n // parts // loaders)
 
     def run(batches):
-        now, state = None, None
+        now, state, last = None, None, None
         for batch in batches:
             out = []
             for loader, src, dst in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if loader != now:
                     now, state = loader, chooser(kind, parts, capacity)
+                elif src != last:
+                    state.leave(last)
+                last = src
                 out.append(state.place(src, dst))
             yield pa.record_batch([batch.column(1), batch.column(2), pa.array(out, pa.int32())], ["src", "dst", "part"])
 
     e = edges.select(F.pmod("src", F.lit(loaders)).cast("int").alias("loader"), "src", "dst")
-    return e.repartition(loaders, "loader").sortWithinPartitions("loader", "src", "dst").mapInArrow(run, "src bigint, dst bigint, part int")
+    # not by a hash of the loader, which would put several into one task
+    placed = e.repartitionById(loaders, F.col("loader")).sortWithinPartitions("loader", "src", "dst").mapInArrow(run, "src bigint, dst bigint, part int")
+    return materialize(placed, "placed")
 
 
 def assign(edges: DataFrame, part: Column) -> DataFrame:
