@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vgraph.graph import Direction, Graph
-from vgraph.kernels import betweenness, paths
+from vgraph.kernels import betweenness, pagerank, paths
 from vgraph.plans import search as plan
 
 
@@ -81,3 +81,13 @@ def test_a_search_stays_among_the_vertices(spark, monkeypatch, frontier):
     empty = graph(spark, [], 2)
     assert rows(paths.bfs(empty, paths.roots(empty, 0)).state.select("vid")) == [(0,)]
     assert rows(paths.bfs(g, paths.roots(g, 0).where(F.lit(False))).state) == []
+
+
+def test_edges_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(0, 1, 1), (1, 2, 1), (2, 3, 1), (5, 6, 1)], "src bigint, dst bigint, w bigint")
+    g = Graph.from_edges(df.mapInArrow(lambda bs: ((seen.add(b.num_rows), b)[1] for b in bs), df.schema), 7)
+    assert rows(betweenness.dependency(g, paths.roots(g, 0)).state) == [(0, 3.0), (1, 2.0), (2, 1.0), (3, 0.0), (4, 0.0), (5, 0.0), (6, 0.0)]
+    assert seen.value == 4
+    pagerank.pagerank_power(g, 1).state.count()
+    assert seen.value == 4

@@ -48,7 +48,9 @@ def backward(graph: Graph, reached: DataFrame) -> Run:
 def dependency(graph: Graph, sources: DataFrame) -> Run:
     """vid, delta over all vertices; those not reached have zero."""
     ahead = forward(graph, sources)
-    back = backward(graph, ahead.state)
+    # only edges out of reached vertices are laid out a second time
+    from_reached = graph.by("src").join(ahead.state.select(F.col("vid").alias("src")), "src", "left_semi").select(graph.edges.columns)
+    back = backward(Graph(graph.vertices, from_reached, graph.placement), ahead.state)
     found = back.state.select(F.col("vid").alias("_v"), "delta")
     out = graph.vertices.select("vid").join(found, F.col("vid") == F.col("_v"), "left").select("vid", F.coalesce("delta", F.lit(0.0)).alias("delta"))
     return Run(out, ahead.metrics + back.metrics)

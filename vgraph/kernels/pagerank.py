@@ -14,7 +14,7 @@ TELEPORT, THRESHOLD = 0.15, 1e-5
 
 
 def _with_degrees(graph: Graph) -> DataFrame:
-    d = graph.out_degrees()
+    d = graph.by("src").groupBy("src").agg(F.count(F.lit(1)).alias("outdegree"))  # laid out for the rounds anyway
     return graph.vertices.join(d, F.col("vid") == d["src"], "left").drop("src")
 
 

@@ -14,7 +14,7 @@ from .kernels import betweenness, components, degree, pagerank, paths
 from .operators import partitioners, traversal, vertex_sets
 from .plans.program import VertexProgram, run
 from .sources import readers, writers
-from .storage import shared_dir
+from .storage import materialize, shared_dir
 from .streaming import edges as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,8 @@ def _next(spark: SparkSession, sf: str) -> Graph:
     t = spark.read.parquet(f"{sf}/lineitem.parquet")
     lead = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     e = t.select(F.col("l_partkey").cast("bigint").alias("src"), lead.cast("bigint").alias("dst"), F.col("l_linenumber").cast("bigint").alias("w"))
-    return Graph.from_edges(e.where("dst is not null"))
+    # written, as vertices, degrees and layouts would each sort the orders again
+    return Graph.from_edges(materialize(e.where("dst is not null"), "next"))
 
 
 def _sql(edges: str, tail: str, recursive: bool = False, more: str = "") -> str:
